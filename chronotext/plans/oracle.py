@@ -134,15 +134,20 @@ def ngram_terms(ch: str, n_min: int = 1, n_max: int = 3) -> str:
     return out
 
 
-CHAR_COUNTS = f"""chars AS (
+def char_counts(src: str = "labelled") -> str:
+    return f"""chars AS (
   SELECT doc_id, label, string_split(regexp_replace(lower(text), {_q(tx.WS_RUN)}, ' ', 'g'), '') AS ch
-  FROM labelled WHERE length(text) > 0),
+  FROM {src} WHERE length(text) > 0),
 grams AS (SELECT doc_id, label, unnest({ngram_terms('ch')}) AS term FROM chars),
 cnt AS (SELECT doc_id, label, term, count(*) AS c FROM grams GROUP BY doc_id, label, term),
-vocab AS (SELECT term, count(*) AS df FROM cnt GROUP BY term HAVING count(*) >= 3),
-inv AS (SELECT cnt.* FROM cnt JOIN vocab USING (term)),
+vocab_all AS (SELECT term, count(*) AS df FROM cnt GROUP BY term),
+vocab AS (SELECT term, df FROM vocab_all WHERE df >= 3),
+inv AS (SELECT cnt.*, vocab.df FROM cnt JOIN vocab USING (term)),
 l1 AS (SELECT doc_id, label, term, c, c::DOUBLE / sum(c) OVER (PARTITION BY doc_id) AS value FROM inv)"""
 
+
+CHAR_COUNTS = char_counts()
+
 CHAR_SCORES = f"""{CHAR_COUNTS},
 l2 AS (SELECT doc_id, label, term, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS value FROM l1),
 priors AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM labelled GROUP BY label),
@@ -280,3 +285,110 @@ SELECT term, round(chi2, 6) AS chi2 FROM ranked, kk WHERE r <= k""",
 SELECT term, round(chi2, 6) AS chi2 FROM scores
 ORDER BY CASE WHEN isnan(chi2) THEN NULL ELSE chi2 END DESC NULLS LAST, term DESC LIMIT 20""",
 }
+
+
+BDOCS = "bdocs AS (SELECT d.*, l.toxic::INTEGER AS label FROM docs d JOIN labels l ON d.doc_id = l.doc_id)"
+SAMPLES = """st AS (SELECT count(*) AS n, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos FROM bdocs),
+mp AS (SELECT n, pos, CASE WHEN pos = 0 OR pos / n > 0.5 THEN 0
+                           ELSE trunc((pos - n * 0.5) / (0.5 - 1))::BIGINT END AS missing FROM st),
+ex AS (SELECT n, pos, CASE WHEN pos = 0 THEN 0 ELSE floor(missing / pos)::BIGINT END AS extra, missing FROM mp),
+ex2 AS (SELECT extra, missing - extra * pos AS remaining FROM ex),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('-', doc_id::VARCHAR, '0')), doc_id) - 1 AS r
+       FROM bdocs WHERE label = 1),
+samples AS (SELECT b.doc_id, b.label, (1 + CASE WHEN b.label = 1 THEN extra +
+              CASE WHEN rk.r < remaining THEN 1 ELSE 0 END ELSE 0 END)::INTEGER AS copies
+            FROM bdocs b LEFT JOIN rk ON b.doc_id = rk.doc_id, ex2)"""
+CELLS = """bst AS (SELECT count(*) AS n, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos FROM bdocs),
+ct AS (SELECT term, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS fp
+       FROM l1 WHERE value > 0 GROUP BY term),
+cells AS (SELECT term, tp::BIGINT AS tp, fp::BIGINT AS fp, (pos - tp)::BIGINT AS fn, (n - pos - fp)::BIGINT AS tn
+          FROM ct, bst)"""
+
+
+def _igf(p_tc, p_t, p_c):
+    return f"CASE WHEN ({p_t}) * ({p_c}) <> 0 AND ({p_tc}) <> 0 THEN ({p_tc}) * log2(({p_tc}) / (({p_t}) * ({p_c}))) ELSE 0.0 END"
+
+
+IG = """igp AS (SELECT term, tp, fp, fn, tn, (tp + tn + fp + fn)::DOUBLE AS d FROM cells),
+igq AS (SELECT term, tp / d AS p_tp, fp / d AS p_fp, fn / d AS p_fn, tn / d AS p_tn,
+               (tp + fn)::DOUBLE / d AS p_c, (tp + fp)::DOUBLE / d AS p_f FROM igp),
+ig AS (SELECT term, """ + " + ".join([_igf("p_tp", "p_f", "p_c"), _igf("p_fp", "p_f", "1.0 - p_c"),
+                                    _igf("p_fn", "1.0 - p_f", "p_c"), _igf("p_tn", "1.0 - p_f", "1.0 - p_c")]) + """ AS ig FROM igq)"""
+
+FOLDED = """folded AS (SELECT doc_id, label, ((row_number() OVER (PARTITION BY label
+    ORDER BY md5(concat_ws('-', doc_id::VARCHAR, '0')), doc_id) - 1) % 5)::INTEGER AS fold FROM labelled)"""
+
+WL_VALUES = f"""wlv AS (SELECT doc_id, length(t) AS v FROM (SELECT doc_id, unnest({tokens('text')}) AS t FROM docs)),
+wlc AS (SELECT doc_id, least(v, 18) AS bin, count(*) AS n FROM wlv WHERE v BETWEEN 1 AND 19 GROUP BY ALL),
+wlg AS (SELECT doc_id, unnest(range(1, 19)) AS bin FROM docs),
+wlj AS (SELECT g.doc_id, g.bin, coalesce(c.n, 0) AS n FROM wlg g LEFT JOIN wlc c ON g.doc_id = c.doc_id AND g.bin = c.bin),
+wlw AS (SELECT doc_id, bin, sum(n) OVER (PARTITION BY doc_id ORDER BY bin) AS cum,
+               sum(n) OVER (PARTITION BY doc_id) AS total FROM wlj),
+wl AS (SELECT doc_id, 'word_length_' || bin AS term,
+              CASE WHEN total > 0 THEN cum::DOUBLE / total::DOUBLE ELSE 0.0 END AS value FROM wlw)"""
+
+PRED = """f AS (SELECT w.doc_id, w.term, w.value, fo.label, fo.fold FROM wl w JOIN folded fo ON w.doc_id = fo.doc_id),
+n_cls AS (SELECT label, count(*) AS n_c FROM folded GROUP BY label),
+n_fold AS (SELECT fold, label, count(*) AS n_ck FROM folded GROUP BY fold, label),
+tot AS (SELECT label, term, sum(value) AS s_c FROM f GROUP BY label, term),
+part AS (SELECT fold, label, term, sum(value) AS s_ck FROM f GROUP BY fold, label, term),
+grid AS (SELECT t.label, t.term, t.s_c, n.n_c, unnest(range(0, 5)) AS fold FROM tot t JOIN n_cls n ON t.label = n.label),
+cen AS (SELECT g.fold, g.label AS cls, g.term,
+               (g.s_c - coalesce(p.s_ck, 0.0)) / (g.n_c - coalesce(nf.n_ck, 0)) AS mu
+        FROM grid g LEFT JOIN part p ON g.fold = p.fold AND g.label = p.label AND g.term = p.term
+        LEFT JOIN n_fold nf ON g.fold = nf.fold AND g.label = nf.label
+        WHERE g.n_c - coalesce(nf.n_ck, 0) > 0),
+dd AS (SELECT f.doc_id, f.label, f.fold, c.cls, sum((f.value - c.mu) * (f.value - c.mu)) AS dist
+       FROM f JOIN cen c ON f.fold = c.fold AND f.term = c.term GROUP BY f.doc_id, f.label, f.fold, c.cls),
+pred AS (SELECT doc_id, label, fold, first(cls ORDER BY dist, cls)::INTEGER AS prediction,
+                exp(-min(dist)) / sum(exp(-dist)) AS proba FROM dd GROUP BY doc_id, label, fold),
+cgrid AS (SELECT a.x AS label, b.x AS prediction FROM (SELECT unnest([0, 1, 2, 3]) AS x) a,
+          (SELECT unnest([0, 1, 2, 3]) AS x) b),
+cm AS (SELECT g.label::INTEGER AS label, g.prediction::INTEGER AS prediction, count(p.doc_id)::BIGINT AS n
+       FROM cgrid g LEFT JOIN pred p ON g.label = p.label AND g.prediction = p.prediction
+       GROUP BY g.label, g.prediction),
+pc AS (SELECT t.label, t.n AS tp, r.support, c.predicted FROM (SELECT label, n FROM cm WHERE label = prediction) t
+       JOIN (SELECT label, sum(n) AS support FROM cm GROUP BY label) r ON t.label = r.label
+       JOIN (SELECT prediction, sum(n) AS predicted FROM cm GROUP BY prediction) c ON t.label = c.prediction),
+prf AS (SELECT label, tp::BIGINT AS tp, (predicted - tp)::BIGINT AS fp, (support - tp)::BIGINT AS fn,
+               CASE WHEN predicted > 0 THEN tp::DOUBLE / predicted ELSE 1.0 END AS precision,
+               CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 1.0 END AS recall,
+               CASE WHEN predicted + support > 0 THEN 2.0 * tp / (predicted + support) ELSE 1.0 END AS f1,
+               support::BIGINT AS support FROM pc)"""
+
+_BIN = f"WITH {DOCS}, {BDOCS}, {char_counts('bdocs')}"
+SQL.update({
+    "dro_samples": f"WITH {DOCS}, {BDOCS}, {SAMPLES} SELECT doc_id, label, copies FROM samples",
+    "dro_replicate": f"""WITH {DOCS}, {BDOCS}, {SAMPLES}
+SELECT doc_id, unnest(range(0, copies))::INTEGER AS copy_no, label FROM samples""",
+    "contingency": f"{_BIN}, {CELLS} SELECT term, tp, fp, fn, tn FROM cells",
+    "info_gain": f"{_BIN}, {CELLS}, {IG} SELECT term, round(ig, 6) AS ig FROM ig",
+    "tpr_fpr": f"""{_BIN}, {CELLS}
+SELECT term, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END, 6) AS tpr,
+       round(CASE WHEN tn + fp > 0 THEN fp::DOUBLE / (tn + fp) ELSE 0.0 END, 6) AS fpr FROM cells""",
+    "dro_weights": f"""{_BIN}, {CELLS}, {IG},
+ctot AS (SELECT term, sum(abs(value)) AS tot FROM l1 GROUP BY term)
+SELECT l1.term, l1.doc_id, round((CASE WHEN tot > 0 THEN value / tot ELSE 0.0 END) * ig * 1e6, 6) AS weight_e6
+FROM l1 JOIN ctot ON l1.term = ctot.term JOIN ig ON l1.term = ig.term""",
+    "folds_stratified": f"WITH {DOCS}, {LABELLED}, {FOLDED} SELECT doc_id, label, fold FROM folded",
+    "class_weights": f"""WITH {DOCS}, {LABELLED},
+per AS (SELECT label, count(*) AS n FROM labelled GROUP BY label)
+SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM per""",
+    "loo_stats": f"""WITH {DOCS}, {LABELLED}, {CHAR_COUNTS},
+lost AS (SELECT doc_id, count(*) AS lost FROM cnt JOIN vocab_all USING (term) WHERE vocab_all.df = 3 GROUP BY doc_id),
+nv AS (SELECT count(*) AS nv FROM vocab), nd AS (SELECT count(*) AS n FROM labelled),
+pcl AS (SELECT label, count(*) AS nc FROM labelled GROUP BY label)
+SELECT l.doc_id, (nd.n - 1)::BIGINT AS n_train, (pcl.nc - 1)::BIGINT AS class_train,
+       (nv.nv - coalesce(lost.lost, 0))::BIGINT AS vocab_loo
+FROM labelled l JOIN pcl ON l.label = pcl.label LEFT JOIN lost ON l.doc_id = lost.doc_id, nv, nd""",
+    "centroid_predictions": f"""WITH {DOCS}, {LABELLED}, {FOLDED}, {WL_VALUES}, {PRED}
+SELECT doc_id, label, fold, prediction, round(proba, 6) AS proba FROM pred""",
+    "accuracy_prf": f"""WITH {DOCS}, {LABELLED}, {FOLDED}, {WL_VALUES}, {PRED}
+SELECT label, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       support FROM prf""",
+    "accuracy_summary": f"""WITH {DOCS}, {LABELLED}, {FOLDED}, {WL_VALUES}, {PRED}
+SELECT sum(support)::BIGINT AS n, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM prf""",
+    "confusion_matrix": f"WITH {DOCS}, {LABELLED}, {FOLDED}, {WL_VALUES}, {PRED} SELECT label, prediction, n FROM cm",
+    "posterior_median": f"""WITH {DOCS}, {LABELLED}, {FOLDED}, {WL_VALUES}, {PRED}
+SELECT fold, round(median(proba), 6) AS posterior_median FROM pred GROUP BY fold""",
+})

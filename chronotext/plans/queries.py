@@ -257,3 +257,146 @@ QUERIES = {
     "select_k_best": q_select_k_best,
     "char_chi2_top20": q_char_chi2_top20,
 }
+
+
+# --- oversampling (binary stand-in: toxic vs. not, documents with labels) ---
+
+from chronotext.operators import dro, evaluation  # noqa: E402
+
+RATIO = 0.5
+SEED = 0
+
+
+def _binary(spark, sf_dir) -> DataFrame:
+    lab = corpus.read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    return _docs(spark, sf_dir).join(lab, "doc_id")
+
+
+def _binary_x(spark, sf_dir):
+    d = _binary(spark, sf_dir)
+    ex = features.CharNGrams()
+    return d, ex, ex.fit_transform(d, carry=["label"])
+
+
+def q_dro_samples(spark, sf_dir):
+    return dro.samples_to_match_ratio(_binary(spark, sf_dir), RATIO, seed=SEED)
+
+
+def q_dro_replicate(spark, sf_dir):
+    d = _binary(spark, sf_dir)
+    s = dro.samples_to_match_ratio(d, RATIO, seed=SEED)
+    return dro.replicate(d.select("doc_id", "label"), s).select("doc_id", "copy_no", "label")
+
+
+def q_contingency(spark, sf_dir):
+    d, _, x = _binary_x(spark, sf_dir)
+    return dro.contingency(x, d)
+
+
+def q_info_gain(spark, sf_dir):
+    d, _, x = _binary_x(spark, sf_dir)
+    return _rounded(dro.information_gain(dro.contingency(x, d)).select("term", "ig"), ["ig"])
+
+
+def q_tpr_fpr(spark, sf_dir):
+    d, _, x = _binary_x(spark, sf_dir)
+    return _rounded(dro.tpr_fpr(dro.contingency(x, d)), ["tpr", "fpr"])
+
+
+def q_dro_weights(spark, sf_dir):
+    d, _, x = _binary_x(spark, sf_dir)
+    ig = dro.information_gain(dro.contingency(x, d))
+    w = dro.weight_matrix(x, ig)
+    return w.select("term", "doc_id", F.round(F.col("weight") * 1e6, R).alias("weight_e6"))
+
+
+def q_dro_latent_draws(spark, sf_dir):
+    """Latent term counts for every oversampled training row (rows-only)."""
+    d, ex, x = _binary_x(spark, sf_dir)
+    words = ex.totals(d).select("doc_id", F.col("n_terms").alias("n_words"))
+    m = dro.DistributionalRandomOversampling(RATIO, seed=SEED).fit(x, d)
+    samples = dro.samples_to_match_ratio(d, RATIO, seed=SEED)
+    return dro.latent_draws(x, m.ig, m.train_x, words, samples, SEED)
+
+
+# --- folds, weights, scorer, metrics ----------------------------------------
+
+K = 5
+CLASSES = sorted(rules.LANG_LABELS.values())
+
+
+def _folded(spark, sf_dir):
+    d = _labelled(spark, sf_dir)
+    return evaluation.stratified_group_folds(d, K, "label", "doc_id", SEED)
+
+
+def q_folds_stratified(spark, sf_dir):
+    return _folded(spark, sf_dir).select("doc_id", "label", "fold")
+
+
+def q_class_weights(spark, sf_dir):
+    return _rounded(evaluation.class_weights(_labelled(spark, sf_dir)), ["weight"])
+
+
+def q_loo_stats(spark, sf_dir):
+    """Leave-one-out statistics by subtraction: training size, own-class
+    training size and char n-gram vocabulary size without the document."""
+    d = _labelled(spark, sf_dir)
+    ex = features.CharNGrams()
+    counts = ex.counts(d)
+    vocab_all = features.terms.fit_vocabulary(counts, 1)
+    n_vocab = vocab_all.where(F.col("df") >= ex.min_df).count()
+    lost = (counts.join(vocab_all, "term").where(F.col("df") == ex.min_df)
+            .groupBy("doc_id").agg(F.count(F.lit(1)).alias("lost")))
+    n = d.count()
+    per_class = d.groupBy("label").agg(F.count(F.lit(1)).alias("nc"))
+    out = d.select("doc_id", "label").join(per_class, "label").join(lost, "doc_id", "left")
+    return out.select("doc_id", F.lit(n - 1).cast("long").alias("n_train"),
+                      (F.col("nc") - 1).cast("long").alias("class_train"),
+                      (F.lit(n_vocab) - F.coalesce(F.col("lost"), F.lit(0))).cast("long").alias("vocab_loo"))
+
+
+def _centroid_pred(spark, sf_dir):
+    docs = _folded(spark, sf_dir)
+    f = features.WordLengths(upto=20).transform(docs)
+    return evaluation.predict_nearest(evaluation.centroid_scores(f, docs, K))
+
+
+def q_centroid_predictions(spark, sf_dir):
+    return _rounded(_centroid_pred(spark, sf_dir), ["proba"])
+
+
+def q_accuracy_prf(spark, sf_dir):
+    m = evaluation.per_class_metrics(_centroid_pred(spark, sf_dir), CLASSES)
+    return _rounded(m, ["precision", "recall", "f1"])
+
+
+def q_accuracy_summary(spark, sf_dir):
+    return _rounded(evaluation.summary_metrics(_centroid_pred(spark, sf_dir), CLASSES), ["accuracy", "macro_f1"])
+
+
+def q_confusion_matrix(spark, sf_dir):
+    return evaluation.confusion(_centroid_pred(spark, sf_dir), CLASSES)
+
+
+def q_posterior_median(spark, sf_dir):
+    return _rounded(evaluation.posterior_median(_centroid_pred(spark, sf_dir), ["fold"]), ["posterior_median"])
+
+
+QUERIES.update({
+    "dro_samples": q_dro_samples,
+    "dro_replicate": q_dro_replicate,
+    "contingency": q_contingency,
+    "info_gain": q_info_gain,
+    "tpr_fpr": q_tpr_fpr,
+    "dro_weights": q_dro_weights,
+    "dro_latent_draws": q_dro_latent_draws,
+    "folds_stratified": q_folds_stratified,
+    "class_weights": q_class_weights,
+    "loo_stats": q_loo_stats,
+    "centroid_predictions": q_centroid_predictions,
+    "accuracy_prf": q_accuracy_prf,
+    "accuracy_summary": q_accuracy_summary,
+    "confusion_matrix": q_confusion_matrix,
+    "posterior_median": q_posterior_median,
+})
