@@ -392,3 +392,41 @@ SELECT sum(support)::BIGINT AS n, round(sum(tp) / sum(support), 6) AS accuracy,
     "posterior_median": f"""WITH {DOCS}, {LABELLED}, {FOLDED}, {WL_VALUES}, {PRED}
 SELECT fold, round(median(proba), 6) AS posterior_median FROM pred GROUP BY fold""",
 })
+
+TOKEN_SUMMARY = """SELECT doc_id, count(*) AS n_tokens, count(DISTINCT sent_no) AS n_sentences, max("end") AS last_char
+FROM tokens {where} GROUP BY doc_id"""
+
+BENCH_DOCS = f"""bench AS (
+  SELECT item_id AS doc_id, {clean("coalesce(text, '')")} AS text, 0 AS label
+  FROM benchmark WHERE {strip("coalesce(text, '')")} <> '')"""
+
+SQL.update({
+    "corpus_json_roundtrip": SQL["corpus_clean"],
+    "results_append": f"""WITH {DOCS}, {LABELLED}, {FOLDED}, {WL_VALUES}, {PRED}
+SELECT doc_id, label, 2::BIGINT AS n_runs, prediction,
+       round(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END::DOUBLE, 6) AS accuracy, round(proba, 6) AS proba FROM pred""",
+    "annotate_incremental": f"WITH {DOCS}, {TOKENS} " + TOKEN_SUMMARY.format(where=""),
+    "cache_delete": f"WITH {DOCS}, {TOKENS} " + TOKEN_SUMMARY.format(
+        where="WHERE doc_id IN (SELECT doc_id FROM docs WHERE epoch <> 'fr')"),
+    "transform_unseen": f"""WITH {DOCS}, {LABELLED}, {CHAR_COUNTS}, {BENCH_DOCS},
+bchars AS (SELECT doc_id, string_split(regexp_replace(lower(text), {_q(tx.WS_RUN)}, ' ', 'g'), '') AS ch
+           FROM bench WHERE length(text) > 0),
+bgrams AS (SELECT doc_id, unnest({ngram_terms('ch')}) AS term FROM bchars),
+bcnt AS (SELECT doc_id, term, count(*) AS c FROM bgrams GROUP BY doc_id, term),
+binv AS (SELECT bcnt.* FROM bcnt JOIN vocab USING (term))
+SELECT doc_id, term, c, round(c::DOUBLE / sum(c) OVER (PARTITION BY doc_id), 6) AS value FROM binv""",
+    "feature_index": f"""WITH {DOCS}, {LABELLED}, {CHAR_SCORES},
+nf AS (SELECT count(*) AS n FROM scores),
+kk AS (SELECT CASE WHEN n < 5000 THEN n ELSE round_even(n * 0.8, 0) END AS k FROM nf),
+ranked AS (SELECT term, row_number() OVER (ORDER BY CASE WHEN isnan(chi2) THEN NULL ELSE chi2 END DESC NULLS LAST,
+                  term DESC) AS r FROM scores),
+chosen AS (SELECT 'char_ngram' AS fset, term FROM ranked, kk WHERE r <= k
+           UNION ALL SELECT 'word_length' AS fset, 'word_length_' || i AS term FROM range(1, 19) t(i)),
+sizes AS (SELECT fset, count(*) AS n, CASE fset WHEN 'pos_ngram' THEN 0 WHEN 'word_length' THEN 1
+            WHEN 'sentence_length' THEN 2 WHEN 'char_ngram' THEN 3 END AS set_no FROM chosen GROUP BY fset),
+ranges AS (SELECT fset, n, coalesce(sum(n) OVER (ORDER BY set_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS start FROM sizes)
+SELECT c.fset, c.term, (r.start + row_number() OVER (PARTITION BY c.fset ORDER BY c.term) - 1)::BIGINT AS col,
+       r.start::BIGINT AS start, (r.start + r.n)::BIGINT AS "end"
+FROM chosen c JOIN ranges r ON c.fset = r.fset""",
+})

@@ -400,3 +400,131 @@ QUERIES.update({
     "confusion_matrix": q_confusion_matrix,
     "posterior_median": q_posterior_median,
 })
+
+
+# --- sources and sinks -------------------------------------------------------
+
+from chronotext.operators import model as lr  # noqa: E402
+from chronotext.plans import dating  # noqa: E402
+from chronotext.session import scratch_path  # noqa: E402
+from chronotext.sources import cache as annotation_cache  # noqa: E402
+from chronotext.sources import results  # noqa: E402
+
+
+def q_corpus_json_roundtrip(spark, sf_dir):
+    """Write the corpus as JSON corpus objects, read it back through the
+    loader (skip, blank, trim, filename and cleaning rules)."""
+    path = scratch_path(spark, "corpus-json")
+    corpus.write_corpus_json(corpus.records_from_documents(corpus.read_table(spark, sf_dir, "documents")),
+                             path, lines=False)
+    return corpus.load_corpus_json(spark, path, multiline=False).select(*corpus.DOC_COLUMNS)
+
+
+def q_results_append(spark, sf_dir):
+    """Two runs appended to one results table, read back."""
+    pred = _centroid_pred(spark, sf_dir)
+    rows = results.result_rows(pred, CLASSES)
+    path = scratch_path(spark, "results")
+    results.save_results(rows, path)
+    results.save_results(rows, path)
+    back = results.load_results(spark, path)
+    out = back.groupBy("doc_id", "label").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.first(F.element_at("prediction", 1)).alias("prediction"),
+        F.first("accuracy").alias("accuracy"), F.first("proba").alias("proba"))
+    return _rounded(out, ["accuracy", "proba"])
+
+
+def _token_summary(toks: DataFrame) -> DataFrame:
+    return toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"),
+                                      F.countDistinct("sent_no").alias("n_sentences"),
+                                      F.max("end").alias("last_char"))
+
+
+def q_annotate_incremental(spark, sf_dir):
+    """Cache filled with the English documents, then every document is
+    requested: only the others are annotated."""
+    d = _docs(spark, sf_dir)
+    c = annotation_cache.AnnotationCache(spark, scratch_path(spark, "annotations"))
+    c.annotate(d.where(F.col("epoch") == "en"))
+    return _token_summary(c.annotate(d))
+
+
+def q_cache_delete(spark, sf_dir):
+    """Every document annotated, then the French ones deleted (new version)."""
+    d = _docs(spark, sf_dir)
+    c = annotation_cache.AnnotationCache(spark, scratch_path(spark, "annotations"))
+    c.annotate(d)
+    c.delete_docs(d.where(F.col("epoch") == "fr").select("doc_id"))
+    return _token_summary(c.table())
+
+
+# --- frozen transform, feature index, stacking, model --------------------------
+
+def _benchmark_docs(spark, sf_dir):
+    b = corpus.read_table(spark, sf_dir, "benchmark")
+    rec = b.select(F.col("item_id").cast("long").alias("doc_id"), F.lit("").alias("Title"),
+                   F.col("text").alias("Content"), F.lit("").alias("Epoch"), F.lit("").alias("Language"),
+                   F.lit("").alias("Area"))
+    return corpus.prepare_documents(rec)
+
+
+def q_transform_unseen(spark, sf_dir):
+    """Char n-gram vocabulary fitted on the corpus, frozen, applied to the
+    unseen benchmark texts (unseen grams dropped, L1 over the rest)."""
+    ex = features.CharNGrams().fit(_docs(spark, sf_dir))
+    w = ex.weights(_benchmark_docs(spark, sf_dir))
+    return _rounded(w.select("doc_id", "term", F.col("c").cast("long").alias("c"), "value"))
+
+
+def q_feature_index(spark, sf_dir):
+    """Column ranges of the stacked matrix: word-length bins, then the
+    chi2-selected char n-grams."""
+    scores = _char_scores(spark, sf_dir)
+    k = selection.k_for(scores.count(), 5000, 0.8)
+    chosen = selection.select_top_k(scores, k).select("fset", "term")
+    names = features.feature_names(20).select(F.lit("word_length").alias("fset"), F.col("name").alias("term"))
+    return selection.feature_index(names.unionByName(chosen), dating.SET_ORDER)
+
+
+def _dev_test(spark, sf_dir):
+    docs = _folded(spark, sf_dir)
+    return docs.where(F.col("fold") != 0).drop("fold"), docs.where(F.col("fold") == 0).drop("fold")
+
+
+def q_feature_vectors(spark, sf_dir):
+    """All four families fitted on folds 1-4, applied to fold 0, each
+    reduced to its chi2 top-k, stacked (rows-only)."""
+    dev, test = _dev_test(spark, sf_dir)
+    fv = dating.extract_feature_vectors(dev, test)
+    return fv.dev.withColumn("split", F.lit("dev")).unionByName(fv.test.withColumn("split", F.lit("test")))
+
+
+def q_lr_grid_cv(spark, sf_dir):
+    """Grid of C x class weight on stratified folds of the development set;
+    returns the mean accuracy of every grid point (rows-only)."""
+    dev, test = _dev_test(spark, sf_dir)
+    fv = dating.extract_feature_vectors(dev, test)
+    inner = evaluation.stratified_group_folds(dev.select("doc_id", "label"), K, "label", "doc_id", SEED)
+    vec = lr.assemble(fv.dev, fv.index, fv.n_features, dev).join(inner, "doc_id")
+    _, table, _ = lr.GridSearch().fit(vec, K)
+    return spark.createDataFrame(table, "C double, class_weight string, mean_accuracy double")
+
+
+def q_lr_predictions(spark, sf_dir):
+    """Fold 0 scored by the refitted best model (rows-only)."""
+    docs = _folded(spark, sf_dir)
+    pred, _, _ = dating.score_fold(docs, 0)
+    return pred
+
+
+QUERIES.update({
+    "corpus_json_roundtrip": q_corpus_json_roundtrip,
+    "results_append": q_results_append,
+    "annotate_incremental": q_annotate_incremental,
+    "cache_delete": q_cache_delete,
+    "transform_unseen": q_transform_unseen,
+    "feature_index": q_feature_index,
+    "feature_vectors": q_feature_vectors,
+    "lr_grid_cv": q_lr_grid_cv,
+    "lr_predictions": q_lr_predictions,
+})
