@@ -75,9 +75,8 @@ class FeatureSetReductor:
         return normalize_rows(feats, "l2") if self.normalize else feats
 
     def fit_transform(self, docs: DataFrame, toks: DataFrame | None = None) -> DataFrame:
-        feats = self._extract_fit(docs, toks)
-        feats = self._reduce(feats)
-        scores = chi2_scores(feats, docs, self.label)
+        feats = self._reduce(self._extract_fit(docs, toks)).persist()
+        scores = chi2_scores(feats, docs, self.label).persist()
         n_features = scores.count()
         self.k_used = k_for(n_features, self.k, self.k_ratio)
         self.selected = select_top_k(scores, self.k_used).select("fset", "term")

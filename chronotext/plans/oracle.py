@@ -430,3 +430,5 @@ SELECT c.fset, c.term, (r.start + row_number() OVER (PARTITION BY c.fset ORDER B
        r.start::BIGINT AS start, (r.start + r.n)::BIGINT AS "end"
 FROM chosen c JOIN ranges r ON c.fset = r.fset""",
 })
+
+SQL["stream_char_ngrams"] = SQL["char_ngram_l1"]

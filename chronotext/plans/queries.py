@@ -528,3 +528,25 @@ QUERIES.update({
     "lr_grid_cv": q_lr_grid_cv,
     "lr_predictions": q_lr_predictions,
 })
+
+
+# --- streaming ------------------------------------------------------------------
+
+from chronotext.streaming import stream as streaming  # noqa: E402
+
+
+def q_stream_char_ngrams(spark, sf_dir):
+    """The documents file read as a stream; every micro-batch is featurised
+    with the frozen char n-gram vocabulary fitted on the corpus."""
+    ex = features.CharNGrams().fit(_docs(spark, sf_dir))
+    ex.vocab = ex.vocab.persist()
+    sink = scratch_path(spark, "stream-sink")
+    q = streaming.featurize_stream(
+        streaming.document_stream(spark, sf_dir, glob="documents.parquet"),
+        ex, sink, scratch_path(spark, "stream-checkpoint"))
+    q.awaitTermination()
+    out = spark.read.parquet(sink).drop("epoch")
+    return _rounded(out)
+
+
+QUERIES["stream_char_ngrams"] = q_stream_char_ngrams
