@@ -37,10 +37,18 @@ class CharNGrams:
     fset: str = "char_ngram"
     vocab: DataFrame | None = field(default=None, repr=False)
 
+    _memo: tuple | None = field(default=None, repr=False)
+
     def counts(self, docs: DataFrame, carry=()) -> DataFrame:
+        """(doc_id, [carry], term, c); persisted and reused while the same
+        documents are fitted and transformed (one n-gram pass, not two)."""
         carry = [c for c in carry if c in docs.columns and c != "doc_id"]
+        if self._memo and self._memo[0] is docs and self._memo[1] == carry:
+            return self._memo[2]
         chars = docs.select("doc_id", *carry, tx.char_array(tx.collapse_space(F.lower(F.col("text")))).alias("_ch"))
-        return terms.count_terms(chars, tx.char_ngrams("_ch", self.n[0], self.n[1]), carry)
+        out = terms.count_terms(chars, tx.char_ngrams("_ch", self.n[0], self.n[1]), carry).persist()
+        self._memo = (docs, carry, out)
+        return out
 
     def fit(self, docs: DataFrame, carry=()) -> "CharNGrams":
         self.vocab = terms.fit_vocabulary(self.counts(docs, carry), self.min_df)
@@ -169,9 +177,15 @@ class TagNGrams:
     def name(self) -> str:
         return self.fset or f"{self.tag_col}_ngram"
 
+    _memo: tuple | None = field(default=None, repr=False)
+
     def counts(self, toks: DataFrame) -> DataFrame:
+        if self._memo and self._memo[0] is toks:
+            return self._memo[1]
         g = tag_ngrams(toks, self.tag_col, self.n)
-        return g.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
+        out = g.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c")).persist()
+        self._memo = (toks, out)
+        return out
 
     def fit(self, toks: DataFrame, docs: DataFrame) -> "TagNGrams":
         self.vocab = terms.fit_vocabulary(self.counts(toks), self.min_df)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotext.session import ensure_checkpoint_dir
+
 _MASK = (1 << 33) - 1
 
 
@@ -26,7 +28,12 @@ def running_index(df: DataFrame, group_cols: list[str], order_cols: list,
     sort_cols = [F.col(c) for c in group_cols] + [
         F.col(c) if isinstance(c, str) else c for c in order_cols]
     mid = "_ri_mid"
-    s = df.orderBy(*sort_cols).withColumn(mid, F.monotonically_increasing_id())
+    # The numbered rows are read twice (counts, join back).  They are fixed
+    # by a reliable checkpoint in the shared checkpoint folder: two reads of
+    # the sort could otherwise be coalesced differently by AQE and disagree
+    # on partition numbers and positions.
+    ensure_checkpoint_dir(df.sparkSession)
+    s = df.orderBy(*sort_cols).withColumn(mid, F.monotonically_increasing_id()).checkpoint(eager=True)
     s = (s.withColumn("_ri_part", F.shiftright(F.col(mid), 33))
           .withColumn("_ri_pos", F.col(mid).bitwiseAND(F.lit(_MASK)))
           .drop(mid))

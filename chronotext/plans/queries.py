@@ -550,3 +550,29 @@ def q_stream_char_ngrams(spark, sf_dir):
 
 
 QUERIES["stream_char_ngrams"] = q_stream_char_ngrams
+
+
+def q_dro_fit_transform(spark, sf_dir):
+    """DRO on the binary stand-in: observed rows replicated by their copy
+    counts plus tf-idf weighted latent terms for every copy (rows-only)."""
+    d, ex, x = _binary_x(spark, sf_dir)
+    words = ex.totals(d).select("doc_id", F.col("n_terms").alias("n_words"))
+    train, _, _ = dro.oversample_family(x.select("doc_id", "fset", "term", "value"), d, words, ratio=RATIO, seed=SEED)
+    return train.select("doc_id", "copy_no", "fset", "term", "value")
+
+
+def q_dro_tile_lengths(spark, sf_dir):
+    """Oversampling of a family without term totals (word-length curve):
+    training rows replicated, test rows tiled 100 times (rows-only)."""
+    d = _binary(spark, sf_dir)
+    folds = evaluation.stratified_group_folds(d.select("doc_id", "label"), K, "label", "doc_id", SEED)
+    wl = features.WordLengths(upto=20).transform(d).join(folds, "doc_id")
+    dev_docs = folds.where(F.col("fold") != 0)
+    train, _, test = dro.oversample_family(wl.where(F.col("fold") != 0).drop("fold", "label"), dev_docs, None,
+                                           ratio=RATIO, seed=SEED, test_x=wl.where(F.col("fold") == 0)
+                                           .drop("fold", "label"))
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+QUERIES["dro_fit_transform"] = q_dro_fit_transform
+QUERIES["dro_tile_lengths"] = q_dro_tile_lengths
