@@ -15,6 +15,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotext.operators.ordering import running_index
+
+# Largest term list sent to every task (selected terms, column index); its
+# size is known exactly after selection.  Above it, joins are shuffled.
+BROADCAST_MAX_TERMS = 500_000
+
+
+def keep_terms(feats: DataFrame, terms: DataFrame, n_terms: int, on=("fset", "term")) -> DataFrame:
+    """Semi-join on a term list whose exact size ``n_terms`` is known."""
+    small = F.broadcast(terms) if n_terms <= BROADCAST_MAX_TERMS else terms
+    return feats.join(small, list(on), "left_semi")
+
 
 def class_priors(labelled_docs: DataFrame, label: str = "label", weight: str | None = None) -> DataFrame:
     """``(label, n, p)`` over documents.  One row per class: bounded."""
@@ -80,11 +92,11 @@ class FeatureSetReductor:
         n_features = scores.count()
         self.k_used = k_for(n_features, self.k, self.k_ratio)
         self.selected = select_top_k(scores, self.k_used).select("fset", "term")
-        return feats.join(F.broadcast(self.selected), ["fset", "term"], "left_semi")
+        return keep_terms(feats, self.selected, self.k_used)
 
     def transform(self, docs: DataFrame, toks: DataFrame | None = None) -> DataFrame:
         feats = self._reduce(self._extract(docs, toks))
-        return feats.join(F.broadcast(self.selected), ["fset", "term"], "left_semi")
+        return keep_terms(feats, self.selected, self.k_used)
 
     def _extract_fit(self, docs, toks):
         ex = self.extractor
@@ -119,8 +131,7 @@ def feature_index(terms_by_set: DataFrame, set_order: list[str]) -> DataFrame:
     w = Window.orderBy("set_no").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sizes.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn(
         "end", F.col("start") + F.col("n"))
-    rank = Window.partitionBy("fset").orderBy("term")
-    cols = terms_by_set.withColumn("pos", F.row_number().over(rank) - 1)
+    cols = running_index(terms_by_set.select("fset", "term"), ["fset"], ["term"], "pos")
     return cols.join(F.broadcast(ranges.select("fset", "start", "end")), "fset").select(
         "fset", "term", (F.col("start") + F.col("pos")).cast("long").alias("col"),
         F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
