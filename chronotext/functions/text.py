@@ -85,24 +85,21 @@ def char_array(col) -> Column:
     return F.when(F.length(_c(col)) > 0, F.split(_c(col), "")).otherwise(F.array().cast("array<string>"))
 
 
-def char_ngrams(chars, n_min: int = 1, n_max: int = 3) -> Column:
-    """All character n-grams, n_min..n_max, from a column holding the
-    character array (see :func:`char_array`).
+def char_ngrams(text, n_min: int = 1, n_max: int = 3) -> Column:
+    """All character n-grams (code points), n_min..n_max, of a string.
 
-    ``chars`` must be a materialised column: a lambda re-evaluates any
-    expression it refers to for every element.  Never ``substring`` over
-    positions (positional access into UTF-8 is linear -> quadratic).
+    Unigrams are the character array; longer grams are the overlapping
+    matches of ``(?s)(?=(.{n}))`` (one compiled regex pass per n, JVM side).
+    Never ``substring`` over positions: positional access into UTF-8 is
+    linear, which makes that quadratic in the text length.
     """
-    chars = _c(chars)
-    size = F.size(chars)
-
-    def gram_of(n):
-        return lambda i: F.concat(*[F.element_at(chars, i + F.lit(j)) for j in range(n)])
-
+    text = _c(text)
     parts = []
     for n in range(n_min, n_max + 1):
-        parts.append(F.when(size >= n, F.transform(F.sequence(F.lit(1), size - F.lit(n - 1)), gram_of(n)))
-                     .otherwise(F.array().cast("array<string>")))
+        if n == 1:
+            parts.append(char_array(text))
+        else:
+            parts.append(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{%d}))" % n), 1))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

@@ -45,8 +45,8 @@ class CharNGrams:
         carry = [c for c in carry if c in docs.columns and c != "doc_id"]
         if self._memo and self._memo[0] is docs and self._memo[1] == carry:
             return self._memo[2]
-        chars = docs.select("doc_id", *carry, tx.char_array(tx.collapse_space(F.lower(F.col("text")))).alias("_ch"))
-        out = terms.count_terms(chars, tx.char_ngrams("_ch", self.n[0], self.n[1]), carry).persist()
+        src = docs.select("doc_id", *carry, tx.collapse_space(F.lower(F.col("text"))).alias("_t"))
+        out = terms.count_terms(src, tx.char_ngrams("_t", self.n[0], self.n[1]), carry).persist()
         self._memo = (docs, carry, out)
         return out
 
@@ -208,3 +208,13 @@ def feature_names(upto: int, prefix: str = "word_length") -> DataFrame:
     spark = SparkSession.getActiveSession()
     return spark.range(1, upto - 1).select(
         F.col("id").cast("int").alias("col"), F.concat(F.lit(prefix + "_"), F.col("id").cast("string")).alias("name"))
+
+
+def function_word_counts(docs: DataFrame, words: list[str]) -> DataFrame:
+    """Occurrences of listed function words per document (semi-join of the
+    word tokens with the fixed word list; the list is bounded and broadcast)."""
+    spark = docs.sparkSession
+    table = spark.createDataFrame([(w,) for w in words], "term string")
+    toks = docs.select("doc_id", F.explode(tx.word_tokens(F.col("text"))).alias("term"))
+    hits = toks.join(F.broadcast(table), "term", "left_semi")
+    return hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))

@@ -432,3 +432,30 @@ FROM chosen c JOIN ranges r ON c.fset = r.fset""",
 })
 
 SQL["stream_char_ngrams"] = SQL["char_ngram_l1"]
+
+REF_SEGMENTS = f"""{units_cte()},
+rfr AS (SELECT doc_id, {reference_windows_expr(merge_expr('u', 'reference'))} AS fr FROM units),
+wdoc AS (SELECT d.doc_id, 1 + coalesce(len(r.fr), 0) AS w FROM docs d LEFT JOIN rfr r ON d.doc_id = r.doc_id)"""
+
+SQL.update({
+    "weighted_vocab": f"""WITH {DOCS}, {LABELLED}, {CHAR_COUNTS}, {REF_SEGMENTS}
+SELECT term, sum(w)::BIGINT AS df FROM cnt JOIN wdoc ON cnt.doc_id = wdoc.doc_id GROUP BY term HAVING sum(w) >= 3""",
+    "segment_data": f"""WITH {DOCS}, {LABELLED}, {FOLDED}, {SEGMENTS}
+SELECT s.doc_id, kind, seg_no::INTEGER AS seg_no, f.label,
+       CASE WHEN f.fold <> 0 THEN 'dev' WHEN kind = 'full' THEN 'test' ELSE 'test_fragment' END AS split, n_tok
+FROM segs s JOIN folded f ON s.doc_id = f.doc_id""",
+    "reduce_unseen": f"""WITH {DOCS}, {LABELLED}, {CHAR_SCORES}, {BENCH_DOCS},
+nf AS (SELECT count(*) AS n FROM scores),
+kk AS (SELECT CASE WHEN n < 5000 THEN n ELSE round_even(n * 0.8, 0) END AS k FROM nf),
+ranked AS (SELECT term, row_number() OVER (ORDER BY CASE WHEN isnan(chi2) THEN NULL ELSE chi2 END DESC NULLS LAST,
+                  term DESC) AS r FROM scores),
+chosen AS (SELECT term FROM ranked, kk WHERE r <= k),
+bchars AS (SELECT doc_id, string_split(regexp_replace(lower(text), {_q(tx.WS_RUN)}, ' ', 'g'), '') AS ch
+           FROM bench WHERE length(text) > 0),
+bgrams AS (SELECT doc_id, unnest({ngram_terms('ch')}) AS term FROM bchars),
+bcnt AS (SELECT doc_id, term, count(*) AS c FROM bgrams GROUP BY doc_id, term),
+binv AS (SELECT bcnt.* FROM bcnt JOIN vocab USING (term)),
+bl1 AS (SELECT doc_id, term, c::DOUBLE / sum(c) OVER (PARTITION BY doc_id) AS v FROM binv),
+bl2 AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM bl1)
+SELECT doc_id, term, round(v, 6) AS value FROM bl2 WHERE term IN (SELECT term FROM chosen)""",
+})

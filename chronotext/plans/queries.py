@@ -576,3 +576,40 @@ def q_dro_tile_lengths(spark, sf_dir):
 
 QUERIES["dro_fit_transform"] = q_dro_fit_transform
 QUERIES["dro_tile_lengths"] = q_dro_tile_lengths
+
+
+def q_weighted_vocab(spark, sf_dir):
+    """Reference-mode multiplicity: every training document appears once per
+    segment (whole document + fragments) with identical features; carried as
+    a weight w, document frequency = sum of w (so a document with w >= 3
+    passes min_df alone)."""
+    d = _docs(spark, sf_dir)
+    seg = segment.Segmentation("by_sentence", SEG_TOKENS, MIN_TOKENS, mode="reference").transform(d)
+    w = seg.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("w"))
+    counts = features.CharNGrams().counts(d).join(w, "doc_id")
+    return features.terms.fit_vocabulary(counts, 3, weight_col="w")
+
+
+def q_segment_data(spark, sf_dir):
+    """Development segments (whole documents and fragments of folds 1-4)
+    and test segments of fold 0, split into whole documents and fragments."""
+    d = _folded(spark, sf_dir)
+    seg = segment.Segmentation("by_sentence", SEG_TOKENS, MIN_TOKENS).transform(d, keep=["label", "fold"])
+    split = (F.when(F.col("fold") != 0, F.lit("dev"))
+             .when(F.col("kind") == "full", F.lit("test")).otherwise(F.lit("test_fragment")))
+    return seg.select("doc_id", "kind", "seg_no", "label", split.alias("split"), "n_tok")
+
+
+def q_reduce_unseen(spark, sf_dir):
+    """Reductor transform on unseen texts: char n-grams with the frozen
+    vocabulary, L1, L2, keep the chi2-selected terms fitted on the corpus."""
+    d = _labelled(spark, sf_dir)
+    red = selection.FeatureSetReductor(features.CharNGrams(), k=5000, k_ratio=0.8)
+    red.fit_transform(d)
+    b = _benchmark_docs(spark, sf_dir).withColumn("label", F.lit(0))
+    return _rounded(red.transform(b).select("doc_id", "term", "value"))
+
+
+QUERIES["weighted_vocab"] = q_weighted_vocab
+QUERIES["segment_data"] = q_segment_data
+QUERIES["reduce_unseen"] = q_reduce_unseen

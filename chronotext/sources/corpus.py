@@ -59,6 +59,9 @@ def prepare_documents(records: DataFrame, skip_epochs: Iterable[str] = (),
     skip = sorted({s.strip().lower() for s in skip_epochs})
     if skip:
         df = df.where(~F.lower(strip_space("Epoch")).isin(skip))
+    # shuffle first, then the regex work: a small file is read as one task,
+    # and cleaning in the scan's partitions would run it on one core
+    df = by_doc(df, partitions)
     df = df.where(strip_space("Content") != F.lit(""))
     title = strip_space("Title")
     text = clean_text("Content") if clean else F.col("Content")
@@ -66,7 +69,7 @@ def prepare_documents(records: DataFrame, skip_epochs: Iterable[str] = (),
         "doc_id", text.alias("text"), title.alias("title"),
         strip_space("Epoch").alias("epoch"), strip_space("Language").alias("language"),
         strip_space("Area").alias("area"), F.replace(title, F.lit(" "), F.lit("_")).alias("filename"))
-    return by_doc(out, partitions)
+    return out
 
 
 def load_documents(spark: SparkSession, sf_dir: str, skip_epochs: Iterable[str] = (),

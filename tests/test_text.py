@@ -35,7 +35,7 @@ def test_tokens_sentences_lines(spark):
 
 def test_char_ngrams(spark):
     df = spark.createDataFrame([("abc",), ("",), ("a",)], "t string")
-    rows = df.select(tx.char_ngrams(tx.char_array(F.col("t"))).alias("g")).collect()
+    rows = df.select(tx.char_ngrams(F.col("t")).alias("g")).collect()
     assert rows[0].g == ["a", "b", "c", "ab", "bc", "abc"]
     assert rows[1].g == []
     assert rows[2].g == ["a"]
