@@ -459,3 +459,7 @@ bl1 AS (SELECT doc_id, term, c::DOUBLE / sum(c) OVER (PARTITION BY doc_id) AS v
 bl2 AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM bl1)
 SELECT doc_id, term, round(v, 6) AS value FROM bl2 WHERE term IN (SELECT term FROM chosen)""",
 })
+
+SQL["segment_tokens_reference"] = f"""WITH {DOCS}, {TOKENS}, {REF_SEGMENTS}
+SELECT t.doc_id, w::BIGINT AS w, count(*) AS n_tokens, (w * count(*))::BIGINT AS weighted_tokens
+FROM tokens t JOIN wdoc ON t.doc_id = wdoc.doc_id GROUP BY t.doc_id, w"""

@@ -613,3 +613,18 @@ def q_reduce_unseen(spark, sf_dir):
 QUERIES["weighted_vocab"] = q_weighted_vocab
 QUERIES["segment_data"] = q_segment_data
 QUERIES["reduce_unseen"] = q_reduce_unseen
+
+
+def q_segment_tokens_reference(spark, sf_dir):
+    """Reference attach rule: every segment (whole document and each
+    fragment) carries the whole document's annotation; kept as a weight w
+    per document instead of w copies of its token rows."""
+    d = _docs(spark, sf_dir)
+    seg = segment.Segmentation("by_sentence", SEG_TOKENS, MIN_TOKENS, mode="reference").transform(d)
+    toks = annotate.attach_whole_document(seg, annotate.tokens_table(d))
+    return toks.groupBy("doc_id").agg(F.first("w").cast("long").alias("w"),
+                                      F.count(F.lit(1)).alias("n_tokens"),
+                                      (F.first("w") * F.count(F.lit(1))).cast("long").alias("weighted_tokens"))
+
+
+QUERIES["segment_tokens_reference"] = q_segment_tokens_reference
