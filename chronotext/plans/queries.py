@@ -214,7 +214,7 @@ def q_chi2_scores(spark, sf_dir):
 
 
 def q_select_k_best(spark, sf_dir):
-    scores = _char_scores(spark, sf_dir)
+    scores = _char_scores(spark, sf_dir).persist()   # counted, then ranked
     k = selection.k_for(scores.count(), 5000, 0.8)
     top = selection.select_top_k(scores, k)
     return _rounded(top.select("term", "chi2"), ["chi2"])
@@ -479,7 +479,7 @@ def q_transform_unseen(spark, sf_dir):
 def q_feature_index(spark, sf_dir):
     """Column ranges of the stacked matrix: word-length bins, then the
     chi2-selected char n-grams."""
-    scores = _char_scores(spark, sf_dir)
+    scores = _char_scores(spark, sf_dir).persist()   # counted, then ranked
     k = selection.k_for(scores.count(), 5000, 0.8)
     chosen = selection.select_top_k(scores, k).select("fset", "term")
     names = features.feature_names(20).select(F.lit("word_length").alias("fset"), F.col("name").alias("term"))
