@@ -28,7 +28,11 @@ TOKEN_SCHEMA = ("doc_id long, sent_no int, tok_no int, start int, end int, "
 def tokens_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     pieces = docs.select("doc_id", F.posexplode(
         F.regexp_extract_all(F.col(text_col), F.lit(tx.PIECE), 0)).alias("p", "piece"))
+    # one ordering for everything: (doc_id, p).  Sentence numbers only grow
+    # with p, so per-sentence numbering is derived from running values over
+    # the same window; Filter/Project keep the order, so it is sorted once.
     w = Window.partitionBy("doc_id").orderBy("p")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     is_ws = F.col("piece").rlike("^" + tx.WS)
     pieces = pieces.select(
         "doc_id", "p", "piece", is_ws.alias("is_ws"),
@@ -37,17 +41,20 @@ def tokens_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "doc_id", "p", "piece", "is_ws",
         F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).cast("int").alias("start"),
-        F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sent_no"))
-    toks = pieces.where(~F.col("is_ws"))
-    ws = Window.partitionBy("doc_id", "sent_no").orderBy("p")
+        F.sum("brk").over(upto).cast("int").alias("sent_no"))
     pos = tx.shape_tag(F.col("piece"))
+    toks = pieces.where(~F.col("is_ws")).select("doc_id", "p", "piece", "start", "sent_no", pos.alias("pos"))
     toks = toks.select(
-        "doc_id", F.col("sent_no").cast("int").alias("sent_no"),
-        (F.row_number().over(ws) - 1).cast("int").alias("tok_no"),
+        "*", F.row_number().over(w).alias("_k"),
+        (F.coalesce(F.lag("sent_no").over(w), F.lit(-1)) != F.col("sent_no")).alias("_first"),
+        F.lag("pos").over(w).alias("_prev_pos"))
+    toks = toks.select("*", F.max(F.when(F.col("_first"), F.col("_k"))).over(upto).alias("_k0"))
+    return toks.select(
+        "doc_id", "sent_no", (F.col("_k") - F.col("_k0")).cast("int").alias("tok_no"),
         "start", (F.col("start") + F.length("piece")).cast("int").alias("end"),
-        F.col("piece").alias("text"), pos.alias("pos"),
-        F.concat(F.coalesce(F.lag(pos).over(ws), F.lit("ROOT")), F.lit(">"), pos).alias("dep"))
-    return toks
+        F.col("piece").alias("text"), "pos",
+        F.concat(F.when(F.col("_first"), F.lit("ROOT")).otherwise(F.col("_prev_pos")), F.lit(">"), F.col("pos"))
+        .alias("dep"))
 
 
 def annotate_with(docs: DataFrame, tagger: Callable, text_col: str = "text") -> DataFrame:
