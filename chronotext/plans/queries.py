@@ -21,7 +21,9 @@ SEG_TOKENS = 400  # segment_min_token_size of the reference configuration
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.load_documents(spark, sf_dir)
+    """The cleaned, doc-partitioned corpus; persisted because every query
+    reads it in several branches (features, labels, folds)."""
+    return corpus.load_documents(spark, sf_dir).persist()
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
