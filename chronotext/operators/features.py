@@ -202,6 +202,10 @@ class TagNGrams:
     def fit_transform(self, toks: DataFrame, docs: DataFrame, carry=()) -> DataFrame:
         return self.fit(toks, docs).transform(toks, docs, carry)
 
+    def totals(self, toks: DataFrame) -> DataFrame:
+        """Number of fitted-vocabulary tag n-grams per document."""
+        return terms.term_totals(terms.apply_vocabulary(self.counts(toks), self.vocab))
+
 
 def feature_names(upto: int, prefix: str = "word_length") -> DataFrame:
     """Names ``prefix_i`` of a histogram family, one per bin (i = 1..upto-2)."""

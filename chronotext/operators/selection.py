@@ -122,10 +122,13 @@ class FeatureSetReductor:
 
 
 def hstack(blocks: list[DataFrame]) -> DataFrame:
-    """Stack feature blocks: a union of long tables, each tagged by ``fset``."""
-    out = blocks[0].select("doc_id", "fset", "term", "value")
+    """Stack feature blocks: a union of long tables, each tagged by ``fset``
+    (rows of oversampled copies keep their ``copy_no``)."""
+    cols = ["doc_id"] + (["copy_no"] if all("copy_no" in b.columns for b in blocks) else []) + \
+        ["fset", "term", "value"]
+    out = blocks[0].select(*cols)
     for b in blocks[1:]:
-        out = out.unionByName(b.select("doc_id", "fset", "term", "value"))
+        out = out.unionByName(b.select(*cols))
     return out
 
 
