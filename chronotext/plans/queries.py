@@ -415,7 +415,7 @@ from chronotext.sources import results  # noqa: E402
 
 def q_corpus_json_roundtrip(spark, sf_dir):
     """Write the corpus as JSON corpus objects, read it back through the
-    loader (skip, blank, trim, filename and cleaning rules)."""
+    loader (blank-content, trim, filename and cleaning rules)."""
     path = scratch_path(spark, "corpus-json")
     corpus.write_corpus_json(corpus.records_from_documents(corpus.read_table(spark, sf_dir, "documents")),
                              path, lines=False)
