@@ -463,3 +463,18 @@ SELECT doc_id, term, round(v, 6) AS value FROM bl2 WHERE term IN (SELECT term FR
 SQL["segment_tokens_reference"] = f"""WITH {DOCS}, {TOKENS}, {REF_SEGMENTS}
 SELECT t.doc_id, w::BIGINT AS w, count(*) AS n_tokens, (w * count(*))::BIGINT AS weighted_tokens
 FROM tokens t JOIN wdoc ON t.doc_id = wdoc.doc_id GROUP BY t.doc_id, w"""
+
+BFOLD = """bfold AS (SELECT doc_id, label, ((row_number() OVER (PARTITION BY label
+    ORDER BY md5(concat_ws('-', doc_id::VARCHAR, '0')), doc_id) - 1) % 5)::INTEGER AS fold FROM bdocs),
+dev AS (SELECT doc_id, label FROM bfold WHERE fold <> 0)"""
+
+SQL["dro_tile_lengths"] = f"""WITH {DOCS}, {BDOCS}, {BFOLD}, {SAMPLES.replace("FROM bdocs", "FROM dev")}, {WL_VALUES},
+train AS (SELECT w.doc_id, w.term, w.value, unnest(range(0, s.copies)) AS copy_no
+          FROM wl w JOIN samples s ON w.doc_id = s.doc_id),
+test AS (SELECT w.doc_id, w.term, w.value, unnest(range(0, 100)) AS copy_no
+         FROM wl w JOIN bfold f ON w.doc_id = f.doc_id WHERE f.fold = 0)
+SELECT doc_id, 'word_length' AS fset, term, round(value, 6) AS value, copy_no::INTEGER AS copy_no, 'train' AS split
+FROM train
+UNION ALL
+SELECT doc_id, 'word_length' AS fset, term, round(value, 6) AS value, copy_no::INTEGER AS copy_no, 'test' AS split
+FROM test"""

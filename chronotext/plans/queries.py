@@ -573,7 +573,8 @@ def q_dro_tile_lengths(spark, sf_dir):
     train, _, test = dro.oversample_family(wl.where(F.col("fold") != 0).drop("fold", "label"), dev_docs, None,
                                            ratio=RATIO, seed=SEED, test_x=wl.where(F.col("fold") == 0)
                                            .drop("fold", "label"))
-    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    out = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return _rounded(out.select("doc_id", "fset", "term", "value", "copy_no", "split"))
 
 
 QUERIES["dro_fit_transform"] = q_dro_fit_transform
