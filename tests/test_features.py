@@ -46,3 +46,11 @@ def test_char_ngram_vocab_min_df(spark):
     assert sorted(r.term for r in m.vocab.collect()) == ["a", "ab", "b"]
     w = {(r.doc_id, r.term): r.value for r in m.weights(docs).collect()}
     assert math.isclose(w[(1, "ab")], 1 / 3) and w[(4, "a")] == 1.0
+
+
+def test_weighted_document_frequency(spark):
+    # reference multiplicity as a weight: a document counted 3 times passes min_df=3 alone
+    counts = spark.createDataFrame([(1, "z", 2, 3), (2, "y", 1, 1), (3, "y", 1, 1)],
+                                   "doc_id long, term string, c long, w long")
+    v = {r.term: r.df for r in terms.fit_vocabulary(counts, 3, weight_col="w").collect()}
+    assert v == {"z": 3}
