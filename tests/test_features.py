@@ -54,3 +54,10 @@ def test_weighted_document_frequency(spark):
                                    "doc_id long, term string, c long, w long")
     v = {r.term: r.df for r in terms.fit_vocabulary(counts, 3, weight_col="w").collect()}
     assert v == {"z": 3}
+
+
+def test_function_word_counts(spark):
+    docs = spark.createDataFrame([(1, "The cat and the dog"), (2, "no match here")], "doc_id long, text string")
+    got = {(r.doc_id, r.term): r.c for r in features.function_word_counts(docs, ["the", "and"]).collect()}
+    assert got == {(1, "the"): 2, (1, "and"): 1}
+    assert features.function_word_counts(docs, ["zzz"]).count() == 0
