@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import free_name, row_ids, ship_package, stored, to_batches
 
-BUDGET = 96 << 20
+BUDGET = 32 << 20
 FAN_OUT = 16
 
 

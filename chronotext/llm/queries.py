@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, license_scan, packing, secret_scan
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def _with_checkpoint(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op2_secrets, op6_licenses, op9_exact_dedup, op10_packing)}
 
 SQL = {
     "op9_exact_dedup": """
