@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, exact_dedup, license_scan, packing, secret_scan
+from . import bpe, exact_dedup, license_scan, packing, secret_scan, toxicity
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.find_licenses(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def _with_checkpoint(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op2_secrets, op6_licenses, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op2_secrets, op3_toxicity, op6_licenses, op9_exact_dedup, op10_packing)}
 
 SQL = {
     "op9_exact_dedup": """
