@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, exact_dedup, license_scan, packing, secret_scan, toxicity
+from . import bpe, embedding_dedup, exact_dedup, license_scan, ngram_join, packing, secret_scan, toxicity
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_texts(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.find_licenses(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def _with_checkpoint(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op2_secrets, op3_toxicity, op6_licenses, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op2_secrets, op3_toxicity, op4_ngram_join, op5_embedding_dedup, op6_licenses, op9_exact_dedup, op10_packing)}
 
 SQL = {
     "op9_exact_dedup": """
