@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, embedding_dedup, exact_dedup, license_scan, ngram_join, packing, secret_scan, suffix_dedup, toxicity
+from . import bpe, chat, embedding_dedup, exact_dedup, license_scan, ngram_join, packing, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(chat.stand_in(table(spark, sf_dir, "conversations")), chat.TOOLS)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def _with_checkpoint(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op2_secrets, op3_toxicity, op4_ngram_join, op5_embedding_dedup, op6_licenses, op7_suffix_dedup, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op2_secrets, op3_toxicity, op4_ngram_join, op5_embedding_dedup, op6_licenses, op7_suffix_dedup, op8_chat, op9_exact_dedup, op10_packing)}
 
 SQL = {
     "op9_exact_dedup": """

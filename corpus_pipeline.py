@@ -8,27 +8,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronotext.llm import exact_dedup, packing
+from chronotext.llm import exact_dedup, ngram_join, packing, secret_scan, toxicity
 from chronotext.llm.common import stored, table
 from chronotext.session import ensure_checkpoint_dir
 
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold, by a model trained on ``labels``."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the largest id of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of linked texts."""
+    return ngram_join.drop_near_copies(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and ``n_chars`` counted anew where one was."""
+    return secret_scan.mask_secrets(docs, length_col="n_chars")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: one row per piece of a document, with its sequence and offset."""
+    """One row per piece of a document, with its sequence and offset."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_stage), ("packing", packing_stage)]
+STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_dedup_stage), ("near_copies", near_copies_stage),
+          ("secrets", secrets_stage), ("packing", packing_stage)]
 
-# The stages train a model and follow links to their end, which SQL can't express.
+# SQL can't express a trained network, links followed to their end, or byte-pair encoding.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``."""
     ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
