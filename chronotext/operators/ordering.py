@@ -51,8 +51,9 @@ def running_index(df: DataFrame, group_cols: list[str], order_cols: list,
 def exact_median(df: DataFrame, group_cols: list[str], value_col: str,
                  name: str = "median") -> DataFrame:
     """Exact median per group (mean of the two middle values for even n)."""
-    ranked = running_index(df.select(*group_cols, value_col), group_cols,
-                           [value_col], name="_m_rank")
+    # the tie-breaker lets equal values spread over sort partitions
+    tied = df.select(*group_cols, value_col, F.xxhash64(F.monotonically_increasing_id()).alias("_m_tie"))
+    ranked = running_index(tied, group_cols, [value_col, "_m_tie"], name="_m_rank").drop("_m_tie")
     counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_m_n"))
     mid = ranked.join(counts, on=group_cols).where(
         (F.col("_m_rank") == F.floor((F.col("_m_n") - 1) / 2)) |

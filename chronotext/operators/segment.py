@@ -141,7 +141,7 @@ class Segmentation:
 
     def __post_init__(self):
         if self.split_policy not in VALID_POLICIES:
-            raise ValueError(f"Unknown policy, valid ones are {set(VALID_POLICIES)}")
+            raise ValueError(f"split_policy is {self.split_policy!r}; it can be {', '.join(sorted(VALID_POLICIES))}")
         if self.mode not in ("intended", "reference"):
             raise ValueError("mode must be 'intended' or 'reference'")
 

@@ -58,23 +58,13 @@ def k_for(n_features: int, k: int = 5000, k_ratio: float = 1.0) -> int:
     return round(n_features * k_ratio)
 
 
-# Above this k, top-k is a distributed rank instead of a single-task merge.
-TOP_K_MERGE_MAX = 100_000
-
-
 def select_top_k(scores: DataFrame, k: int, score: str = "chi2", by: tuple = ("fset",)) -> DataFrame:
     """Top-k terms by score (NaN last); ties keep the greater term.
 
-    Small k: ``orderBy().limit(k)`` (TakeOrderedAndProject keeps at most k
-    rows per task and merges them).  Large k (a fraction of a big
-    vocabulary): exact rank from a global range sort (``running_index``),
-    rows with rank < k kept; no task holds more than its sorted range."""
+    One path for every k: a total order and a limit, which Spark runs as a
+    bounded merge or, above its own threshold, as a global range sort."""
     s = F.when(F.isnan(F.col(score)), F.lit(None)).otherwise(F.col(score))
-    if k <= TOP_K_MERGE_MAX:
-        return scores.orderBy(s.desc_nulls_last(), F.col("term").desc()).limit(k)
-    ranked = running_index(scores.withColumn("_all", F.lit(0)), ["_all"],
-                           [s.desc_nulls_last(), F.col("term").desc()], "_rank")
-    return ranked.where(F.col("_rank") < k).drop("_all", "_rank")
+    return scores.orderBy(s.desc_nulls_last(), F.col("term").desc()).limit(k)
 
 
 @dataclass

@@ -305,15 +305,16 @@ cells AS (SELECT term, tp::BIGINT AS tp, fp::BIGINT AS fp, (pos - tp)::BIGINT AS
           FROM ct, bst)"""
 
 
-def _igf(p_tc, p_t, p_c):
-    return f"CASE WHEN ({p_t}) * ({p_c}) <> 0 AND ({p_tc}) <> 0 THEN ({p_tc}) * log2(({p_tc}) / (({p_t}) * ({p_c}))) ELSE 0.0 END"
 
 
-IG = """igp AS (SELECT term, tp, fp, fn, tn, (tp + tn + fp + fn)::DOUBLE AS d FROM cells),
-igq AS (SELECT term, tp / d AS p_tp, fp / d AS p_fp, fn / d AS p_fn, tn / d AS p_tn,
-               (tp + fn)::DOUBLE / d AS p_c, (tp + fp)::DOUBLE / d AS p_f FROM igp),
-ig AS (SELECT term, """ + " + ".join([_igf("p_tp", "p_f", "p_c"), _igf("p_fp", "p_f", "1.0 - p_c"),
-                                    _igf("p_fn", "1.0 - p_f", "p_c"), _igf("p_tn", "1.0 - p_f", "1.0 - p_c")]) + """ AS ig FROM igq)"""
+def _entropy_sql(*shares):
+    return "(" + " + ".join(f"CASE WHEN {p} > 0 THEN -({p}) * log2({p}) ELSE 0.0 END" for p in shares) + ")"
+
+
+IG = f"""shares AS (SELECT term, tp / n AS tp, fp / n AS fp, fn / n AS fn, tn / n AS tn
+                   FROM (SELECT *, (tp + fp + fn + tn)::DOUBLE AS n FROM cells)),
+ig AS (SELECT term, {_entropy_sql("tp + fn", "fp + tn")}
+                    - ({_entropy_sql("tp", "fp", "fn", "tn")} - {_entropy_sql("tp + fp", "fn + tn")}) AS ig FROM shares)"""
 
 FOLDED = """folded AS (SELECT doc_id, label, ((row_number() OVER (PARTITION BY label
     ORDER BY md5(concat_ws('-', doc_id::VARCHAR, '0')), doc_id) - 1) % 5)::INTEGER AS fold FROM labelled)"""
@@ -406,6 +407,11 @@ SQL.update({
 SELECT doc_id, label, 2::BIGINT AS n_runs, prediction,
        round(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END::DOUBLE, 6) AS accuracy, round(proba, 6) AS proba FROM pred""",
     "annotate_incremental": f"WITH {DOCS}, {TOKENS} " + TOKEN_SUMMARY.format(where=""),
+    "corpus_json_lines_ids": f"""WITH numbered AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, * FROM documents),
+{DOCS.replace("FROM documents", "FROM numbered").replace("SELECT doc_id,", "SELECT line::BIGINT AS doc_id,")}
+SELECT doc_id, text, title, epoch, language, area, filename FROM docs""",
+    "cache_reopened": f"WITH {DOCS}, {TOKENS} " + TOKEN_SUMMARY.format(
+        where="WHERE doc_id IN (SELECT doc_id FROM docs WHERE epoch <> 'fr')"),
     "cache_delete": f"WITH {DOCS}, {TOKENS} " + TOKEN_SUMMARY.format(
         where="WHERE doc_id IN (SELECT doc_id FROM docs WHERE epoch <> 'fr')"),
     "transform_unseen": f"""WITH {DOCS}, {LABELLED}, {CHAR_COUNTS}, {BENCH_DOCS},

@@ -30,6 +30,11 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label_encode(_docs(spark, sf_dir), rules.LANG_LABELS, "epoch")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and labels for queries that need no text."""
+    return labels.label_encode(corpus.document_labels(spark, sf_dir), rules.LANG_LABELS, "epoch")
+
+
 # --- sources, cleaning, labels --------------------------------------------
 
 def q_corpus_clean(spark, sf_dir):
@@ -42,11 +47,11 @@ def q_corpus_filter_label(spark, sf_dir):
 
 
 def q_label_encode(spark, sf_dir):
-    return _labelled(spark, sf_dir).select("doc_id", "epoch", "label")
+    return _labels(spark, sf_dir).select("doc_id", "epoch", "label")
 
 
 def q_class_balance(spark, sf_dir):
-    return labels.class_balance(_labelled(spark, sf_dir))
+    return labels.class_balance(_labels(spark, sf_dir))
 
 
 # --- segmentation ----------------------------------------------------------
@@ -337,7 +342,7 @@ def q_folds_stratified(spark, sf_dir):
 
 
 def q_class_weights(spark, sf_dir):
-    return _rounded(evaluation.class_weights(_labelled(spark, sf_dir)), ["weight"])
+    return _rounded(evaluation.class_weights(_labels(spark, sf_dir)), ["weight"])
 
 
 def q_loo_stats(spark, sf_dir):
@@ -460,6 +465,24 @@ def q_cache_delete(spark, sf_dir):
     return _token_summary(c.table())
 
 
+def q_corpus_json_lines_ids(spark, sf_dir):
+    """The corpus as one file of JSON lines without ids; ids are the lines' numbers."""
+    path = scratch_path(spark, "json-lines")
+    records = corpus.records_from_documents(corpus.read_table(spark, sf_dir, "documents"))
+    records.orderBy("doc_id").select(*corpus.RECORD_FIELDS).write.json(path)
+    return corpus.load_corpus_json(spark, path, multiline=False, number_lines=True).select(*corpus.DOC_COLUMNS)
+
+
+def q_cache_reopened(spark, sf_dir):
+    """Annotated by one instance, again by a second, deletion by a third, read by a fourth."""
+    d = _docs(spark, sf_dir)
+    path = scratch_path(spark, "annotations")
+    annotation_cache.AnnotationCache(spark, path).annotate(d.where(F.col("epoch") == "en"))
+    annotation_cache.AnnotationCache(spark, path).annotate(d)
+    annotation_cache.AnnotationCache(spark, path).delete_docs(d.where(F.col("epoch") == "fr").select("doc_id"))
+    return _token_summary(annotation_cache.AnnotationCache(spark, path).table())
+
+
 # --- frozen transform, feature index, stacking, model --------------------------
 
 def _benchmark_docs(spark, sf_dir):
@@ -521,6 +544,8 @@ def q_lr_predictions(spark, sf_dir):
 
 QUERIES.update({
     "corpus_json_roundtrip": q_corpus_json_roundtrip,
+    "corpus_json_lines_ids": q_corpus_json_lines_ids,
+    "cache_reopened": q_cache_reopened,
     "results_append": q_results_append,
     "annotate_incremental": q_annotate_incremental,
     "cache_delete": q_cache_delete,

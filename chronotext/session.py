@@ -7,8 +7,10 @@ when a setting is absent (local tests).
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _DEFAULTS = {
@@ -26,8 +28,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    given = SparkConf()  # spark-defaults and submit options; what they name stays
     for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
+        if not given.contains(k):
+            builder = builder.config(k, v)
     if master and master.startswith("local"):
         builder = builder.config("spark.driver.memory", "16g")
     if shuffle_partitions:
@@ -41,7 +45,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (local tests) a folder is set here.
+    Only a single-machine session (master ``local`` or ``local[...]``) that
+    names none gets a folder here; on a cluster its absence is an error, since
+    executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = os.path.join(os.environ.get("TMPDIR", "/tmp"), "chronotext-checkpoints")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

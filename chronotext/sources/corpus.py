@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronotext.operators.ordering import running_index
 from chronotext.functions.text import clean_text, strip_space
 
 RECORD_FIELDS = ["Title", "Content", "Epoch", "Language", "Area"]
@@ -49,6 +50,17 @@ def records_from_documents(documents: DataFrame) -> DataFrame:
         F.col("source").alias("Area"))
 
 
+def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and fields of the ``documents`` corpus without its text.
+
+    The text is read for the blank-content rule alone; nothing is cleaned,
+    shuffled or kept."""
+    records = records_from_documents(read_table(spark, sf_dir, "documents"))
+    fields = [strip_space(F.coalesce(F.col(f), F.lit(""))).alias(f.lower()) for f in RECORD_FIELDS if f != "Content"]
+    kept = records.where(strip_space(F.coalesce("Content", F.lit(""))) != F.lit(""))
+    return kept.select("doc_id", *fields, F.replace(strip_space(F.coalesce("Title", F.lit(""))), F.lit(" "), F.lit("_")).alias("filename"))
+
+
 def prepare_documents(records: DataFrame, skip_epochs: Iterable[str] = (),
                       partitions: int | None = None, clean: bool = True) -> DataFrame:
     """Loader rules: skip epochs (trimmed, case-insensitive), drop blank
@@ -80,7 +92,8 @@ def load_documents(spark: SparkSession, sf_dir: str, skip_epochs: Iterable[str]
 
 
 def load_corpus_json(spark: SparkSession, path: str, skip_epochs: Iterable[str] = (),
-                     multiline: bool = True, partitions: int | None = None) -> DataFrame:
+                     multiline: bool = True, partitions: int | None = None,
+                     number_lines: bool = False) -> DataFrame:
     """Read a JSON corpus.
 
     ``multiline=True``: every file is one object ``{"Documents": [{Title,
@@ -89,16 +102,29 @@ def load_corpus_json(spark: SparkSession, path: str, skip_epochs: Iterable[str]
     ``multiline=False``: JSON lines; a line is either one record or one
     ``{"Documents": [...]}`` chunk (the scalable layouts).
     Records may carry a ``doc_id``; otherwise it is the position inside its
-    file plus a per-file offset.
+    file plus a per-file offset.  In JSON lines a position is only known by
+    counting the lines before it: ``number_lines=True`` sorts the records by
+    file and place to do so, without it a record that lacks its id is an error.
     """
     rec = T.StructType([T.StructField("doc_id", T.LongType())] + list(RECORD_SCHEMA.fields))
     schema = T.StructType([T.StructField("Documents", T.ArrayType(rec))] + list(rec.fields))
     raw = spark.read.schema(schema).option("multiLine", multiline).json(path)
-    raw = raw.select(F.input_file_name().alias("_file"),
+    raw = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_line"),
                      F.coalesce(F.col("Documents"),
                                 F.array(F.struct(*[F.col(f.name) for f in rec.fields])))
                      .alias("Documents"))
-    raw = raw.where(F.size("Documents") > 0).select("_file", F.posexplode("Documents").alias("_pos", "d"))
+    raw = raw.where(F.size("Documents") > 0).select("_file", "_block", "_line", F.posexplode("Documents").alias("_pos", "d"))
+    if not multiline:
+        own = F.col("d.doc_id")
+        if number_lines:
+            # one order over all files: ids 0, 1, 2, ... by file name, then by place in the file
+            raw = running_index(raw.withColumn("_all", F.lit(0)), ["_all"], ["_file", "_block", "_line", "_pos"], "_id")
+            own = F.coalesce(own, F.col("_id"))
+        else:
+            own = F.coalesce(own, F.raise_error(F.lit("a JSON line has no doc_id; number_lines=True makes ids")).cast("long"))
+        return prepare_documents(raw.select(own.alias("doc_id"), *[F.col(f"d.{f}").alias(f) for f in RECORD_FIELDS]),
+                                 skip_epochs, partitions)
     # one row per input file: a bounded table, numbered in file-name order
     file_rank = (raw.select("_file").distinct()
                  .withColumn("_file_no", F.row_number().over(Window.orderBy("_file")) - 1))

@@ -38,3 +38,38 @@ def test_confusion_and_metrics(spark):
     assert m[0].precision == 1.0 and m[0].recall == 0.5 and m[3].f1 == 1.0
     s = evaluation.summary_metrics(pred, [0, 1, 2, 3]).first()
     assert s.n == 4 and s.accuracy == 0.75
+
+
+def test_centroid_distance_counts_absent_terms(spark):
+    rows = [(1, "a", 1.0), (1, "b", 5.0), (2, "a", 0.9), (3, "a", 1.0)]
+    f = spark.createDataFrame(rows, "doc_id long, term string, value double")
+    docs = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, 1, 1)], "doc_id long, label int, fold int")
+    got = {(r.doc_id, r.cls): r.dist for r in evaluation.centroid_scores(f, docs, 2).collect()}
+    assert abs(got[(3, 0)] - 25.0) < 1e-9 and abs(got[(3, 1)] - 0.01) < 1e-9
+
+
+def test_median_of_ties_spreads_over_tasks(spark):
+    df = spark.range(2000).selectExpr("0 as g", "case when id < 1980 then 1.0 else 2.0 end as v")
+    assert ordering.exact_median(df, ["g"], "v").first()["median"] == 1.0
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from chronotext import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

@@ -47,12 +47,3 @@ def test_top_k_ties_and_nan(spark):
                               "fset string, term string, chi2 double")
     assert [r.term for r in selection.select_top_k(s, 1).collect()] == ["b"]
     assert [r.term for r in selection.select_top_k(s, 4).collect()] == ["b", "a", "d", "c"]
-
-
-def test_top_k_distributed_rank_equals_merge(spark, monkeypatch):
-    rows = [("x", f"t{i:03d}", float(i % 17) if i % 23 else float("nan")) for i in range(300)]
-    s = spark.createDataFrame(rows, "fset string, term string, chi2 double")
-    merged = [r.term for r in selection.select_top_k(s, 120).collect()]
-    monkeypatch.setattr(selection, "TOP_K_MERGE_MAX", 10)
-    ranked = {r.term for r in selection.select_top_k(s, 120).collect()}
-    assert ranked == set(merged) and len(ranked) == 120

@@ -43,3 +43,23 @@ def test_annotation_cache_incremental_and_delete(spark):
     assert c.annotate(edited).where("doc_id = 2").count() == 1
     c.delete_docs(docs.where("doc_id = 1").select("doc_id"))
     assert c.table().where("doc_id = 1").count() == 0
+
+
+def test_cache_goes_on_after_reopening(spark):
+    docs = spark.createDataFrame([(1, "one two. three"), (2, ""), (3, "four five")], "doc_id long, text string")
+    path = scratch_path(spark, "cache-test")
+    cache.AnnotationCache(spark, path).annotate(docs.where("doc_id < 3"))
+    assert cache.AnnotationCache(spark, path).annotate(docs).count() == 6
+    cache.AnnotationCache(spark, path).delete_docs(docs.where("doc_id = 1").select("doc_id"))
+    assert cache.AnnotationCache(spark, path).table().count() == 2
+
+
+def test_json_lines_need_ids_or_numbering(spark):
+    import pytest
+    path = scratch_path(spark, "lines")
+    spark.createDataFrame([(f"t{i}", f"text {i}") for i in range(50)], "Title string, Content string") \
+        .repartition(3).write.json(path)
+    got = corpus.load_corpus_json(spark, path, multiline=False, number_lines=True).collect()
+    assert sorted(r.doc_id for r in got) == list(range(50))
+    with pytest.raises(Exception, match="no doc_id"):
+        corpus.load_corpus_json(spark, path, multiline=False).collect()
