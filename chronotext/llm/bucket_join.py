@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import ship_package, stored, to_batches
 
-BLOCK = 256
+BLOCK = 512
 
 
 def node_sizes(members: DataFrame) -> DataFrame:
@@ -186,7 +186,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # stored, so that the join below is of two plain shuffles and Spark can split a hub's edges
+        least = stored(spark, both.groupBy("a").agg(F.min("b").alias("b"))
+                       .select("a", F.least("a", "b").alias("m")), name)
         large = (both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         now = stored(spark, large, name)
         least = now.groupBy("a").agg(F.min("b").alias("m"))

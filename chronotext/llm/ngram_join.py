@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bucket_join import components, distinct_nodes, links, node_sizes, prune
-from .common import row_ids, ship_package, slices, stored, to_batches
+from .common import free_name, row_ids, ship_package, slices, stored, to_batches
 
 WORDS = 5
 MIN_JACCARD = 0.8
@@ -216,14 +216,14 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                      min_jaccard: float = MIN_JACCARD, recall: float = RECALL) -> DataFrame:
     """The rows of ``df`` that ``near_texts`` keeps, with all their columns; repeated rows count once."""
-    gone = (_labelled(df, id_col, text_col, words, min_jaccard, recall)
-            .groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
-    here = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
-    lost = gone.where(~F.col("kept"))
-    left = df.join(lost, here[0].eqNullSafe(lost.doc_id) & (here[1] == lost.text_hash), "left_anti")
+    gone = stored(df.sparkSession, _labelled(df, id_col, text_col, words, min_jaccard, recall)
+                  .groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "judged")
+    key, hash_col = free_name(df, "lost_id"), free_name(df, "lost_hash")
+    lost = gone.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_hash").alias(hash_col))
+    left = df.join(lost, df[id_col].cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(df[text_col]) == F.col(hash_col)), "left_anti")
     if gone.where("kept and n > 1").isEmpty():
         return left
-    return left.dropDuplicates()
+    return left.dropDuplicates([id_col, text_col])
 
 
 def _labelled(df, id_col, text_col, words, min_jaccard, recall):
@@ -254,7 +254,8 @@ def _labelled(df, id_col, text_col, words, min_jaccard, recall):
                      .select("set_hash", "n", "first", F.col("first.uid").alias("item"), "payload"), "classes")
     sketches = classes.select("item", "payload")
     nodes = split_large(paths(sketches, runs_needed(recall), min_jaccard), sketches, min_jaccard)
-    close = stored(spark, prune(nodes, sketches, _alike(min_jaccard - SLACK)), "close")
+    mixed, alike = nodes.where(F.col("size") <= LARGE), nodes.where(F.col("size") > LARGE).select("node", "item")
+    close = stored(spark, prune(mixed, sketches, _alike(min_jaccard - SLACK)).unionByName(alike), "close")
     members = stored(spark, distinct_nodes(close), "compared")
     wanted = (classes.join(members.select("item").distinct(), "item")
               .select("item", "n", F.col("first.doc_id").alias("k"), F.col("first.text_hash").alias("h")))
