@@ -238,7 +238,8 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, group: int = GROUP) ->
                     at, size = k + 1, 0
 
     dealt = src.mapInArrow(deal, "doc_id long, text_hash long, start int, strings short, lead short, anchor long, whole long")
-    repeated = dealt.groupBy("anchor").count().where("count > 1").select("anchor")
+    # stored, as are the ranges below: a join of two plain shuffles is one whose hot keys Spark can split
+    repeated = stored(spark, dealt.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     hits = stored(spark, dealt.join(repeated, "anchor"), "stretches")
     kinds = hits.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct(
         "doc_id", "text_hash", "start", "strings", "lead")).alias("one"))
@@ -286,7 +287,8 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
-    ranges = found.distinct().groupBy("anchor", "whole").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = stored(spark, found.distinct().groupBy("anchor", "whole")
+                    .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     return (hits.join(ranges, ["anchor", "whole"])
             .select("doc_id", "text_hash", F.transform("ranges", lambda r: F.struct(
                 (F.col("start") + r["lo"]).alias("start"), (F.col("start") + r["hi"] - 1 + F.lit(length)).alias("stop"))).alias("spans"))
