@@ -90,16 +90,17 @@ class LicenseMatcher:
         """``(name, start, end, saved bytes, differing words)`` of each confirmed block."""
         found = []
         for start, end in blocks(text or ""):
-            name, saved, differ = self.judge(text[start:end])
-            if name is not None:
-                found.append((name, start, end, saved, differ))
-                continue
-            at = start
-            for line in text[start:end].split("\n"):  # notices of several licenses in one block
+            at, lines = start, []
+            for line in text[start:end].split("\n"):  # a block can hold notices of several licenses
                 name, saved, differ = self.judge(line)
                 if name is not None:
-                    found.append((name, at, at + len(line), saved, differ))
+                    lines.append((name, at, at + len(line), saved, differ))
                 at += len(line) + 1
+            if not lines and "\n" in text[start:end]:  # or one notice over several lines
+                name, saved, differ = self.judge(text[start:end])
+                if name is not None:
+                    lines.append((name, start, end, saved, differ))
+            found += lines
         return found
 
 
