@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import zipfile
@@ -9,7 +10,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -44,6 +46,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def bounded_sample(df: DataFrame, draw: Column, most: int, ties: str) -> DataFrame:
+    """At most ``most`` rows, those of the least ``draw`` (a hash), for models that are fitted on a sample.
+
+    Rows that can't be among them are left out by the known number of rows
+    first, so that what reaches the driver doesn't grow with the partitions.
+    """
+    n, steps = df.count(), 1 << 20
+    part = F.pmod(draw, F.lit(steps))
+    return df.where(part < math.ceil(steps * min(1.0, (1.2 * most + 200) / max(n, 1)))).orderBy(part, draw, ties).limit(most)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

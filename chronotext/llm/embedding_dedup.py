@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bucket_join import components, distinct_nodes, links
-from .common import row_ids, ship_package, stored, to_batches
+from .common import bounded_sample, row_ids, ship_package, stored, to_batches
 
 MIN_COSINE = 0.93
 SAMPLE_ROWS = 20_000  # vectors that the rotations are fitted on
@@ -102,7 +102,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     bits, tables = table_plan(largest, min_cosine, recall)
     spaces = {}
     for dim in [int(r[0]) for r in distinct.select("dim").distinct().limit(64).collect()]:
-        sample = distinct.where(F.col("dim") == dim).orderBy(F.xxhash64("item", F.lit(seed))).limit(sample_rows)
+        sample = bounded_sample(distinct.where(F.col("dim") == dim), F.xxhash64("item", F.lit(seed)), sample_rows, "item")
         x = np.frombuffer(b"".join(bytes(r[0]) for r in sample.select("payload").collect()), dtype="<f8").reshape(-1, dim)
         rng = np.random.default_rng(seed)
         spaces[dim] = [learn_rotation(x, rng) for _ in range(math.ceil(bits * tables / dim))]

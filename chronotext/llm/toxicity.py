@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices, to_batches
+from .common import bounded_sample, ship_package, slices, to_batches
 
 THRESHOLD = 0.3
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -349,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
         chosen = rows.where(which & (F.length("t") <= chars))
         draw = F.xxhash64(F.col("k"), F.lit(p.seed))
         return [r for y, n in most.items()
-                for r in chosen.where(F.col("y") == y).orderBy(draw, "t").limit(n).select("t", "y").collect()]
+                for r in bounded_sample(chosen.where(F.col("y") == y), draw, n, "t").select("t", "y").collect()]
 
     fitted = sample(part != 3, p.max_chars, {1: p.max_toxic, 0: p.max_clean})
     texts = [[plain(c) for c in r.t.lower().split()] for r in fitted]
