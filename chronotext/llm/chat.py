@@ -215,27 +215,31 @@ def _depths(spark, calls: DataFrame, named: DataFrame, max_chain: int) -> DataFr
     ``depth`` is -1 where none can; ``after`` is the latest turn of the call and of all that it refers to.
     """
     target = named.withColumnRenamed("conv_id", "c").withColumnRenamed("call_id", "i")
-    asked = calls.select("row", "conv_id", F.explode("refs").alias("ref"))
+    asked = calls.select("row", "turn", "conv_id", F.explode("refs").alias("ref"))
     edges = stored(spark, asked.join(target, asked.conv_id.eqNullSafe(target.c) & (asked.ref == target.i), "left")
-                   .select("row", F.col("call_row").alias("needs")), "references")
+                   .select("row", "turn", F.col("call_row").alias("needs")), "references")
     lost = edges.where("needs is null").select("row", F.lit(True).alias("missing")).distinct()
     edges = edges.where("needs is not null").distinct()
-    depth = stored(spark, calls.join(edges.select("row").distinct(), "row", "left_anti")
+    fresh = stored(spark, calls.join(edges.select("row").distinct(), "row", "left_anti")
                    .select("row", F.lit(0).alias("depth"), F.col("turn").alias("after")), "depths")
-    left = edges
+    settled = fresh
+    # open references, filled in with what the latest round has settled; every round reads stored tables alone
+    pending = edges.select("row", "turn", "needs", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("after"))
     for _ in range(max_chain):
-        known = left.join(depth.withColumnRenamed("row", "needs"), "needs", "left")
-        ready = known.groupBy("row").agg(F.max("depth").alias("depth"), F.max("after").alias("after"),
-                                         F.max(F.col("depth").isNull()).alias("open")).where("not open")
-        ready = stored(spark, ready.join(calls.select("row", "turn"), "row")
-                       .select("row", (F.col("depth") + 1).alias("depth"), F.greatest("after", "turn").alias("after")), "ready")
-        if ready.isEmpty():
+        news = fresh.select(F.col("row").alias("needs"), F.col("depth").alias("d"), F.col("after").alias("a"))
+        filled = stored(spark, pending.join(news, "needs", "left").select(
+            "row", "turn", "needs", F.coalesce("depth", "d").alias("depth"), F.coalesce("after", "a").alias("after")), "filled")
+        fresh = stored(spark, filled.groupBy("row").agg(
+            F.max("depth").alias("depth"), F.max("after").alias("after"), F.max("turn").alias("turn"),
+            F.max(F.col("depth").isNull()).alias("open")).where("not open")
+            .select("row", (F.col("depth") + 1).alias("depth"), F.greatest("after", "turn").alias("after")), "ready")
+        if fresh.isEmpty():
             break
-        depth = depth.unionByName(ready)
-        left = left.join(ready, "row", "left_anti")
-    return (calls.select("row", "turn").join(depth, "row", "left").join(lost, "row", "left")
-            .select("row", F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("after", "turn").alias("after"),
-                    F.coalesce("missing", F.lit(False)).alias("missing")))
+        settled = settled.unionByName(fresh)
+        pending = filled.join(fresh, "row", "left_anti")
+    return stored(spark, calls.select("row", "turn").join(settled, "row", "left").join(lost, "row", "left")
+                  .select("row", F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("after", "turn").alias("after"),
+                          F.coalesce("missing", F.lit(False)).alias("missing")), "call_depths")
 
 
 TOOLS = {
