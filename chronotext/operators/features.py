@@ -35,23 +35,32 @@ class CharNGrams:
     min_df: int = 3
     norm: str | None = "l1"
     fset: str = "char_ngram"
+    weight: str | None = None  # column of row multiplicities, counted in df
     vocab: DataFrame | None = field(default=None, repr=False)
 
     _memo: tuple | None = field(default=None, repr=False)
+    _cached: list = field(default_factory=list, repr=False)
 
     def counts(self, docs: DataFrame, carry=()) -> DataFrame:
         """(doc_id, [carry], term, c); persisted and reused while the same
         documents are fitted and transformed (one n-gram pass, not two)."""
-        carry = [c for c in carry if c in docs.columns and c != "doc_id"]
+        if self.weight:
+            carry = [*carry, self.weight]
+        carry = [c for c in dict.fromkeys(carry) if c in docs.columns and c != "doc_id"]
         if self._memo and self._memo[0] is docs and self._memo[1] == carry:
             return self._memo[2]
         src = docs.select("doc_id", *carry, tx.collapse_space(F.lower(F.col("text"))).alias("_t"))
         out = terms.count_terms(src, tx.char_ngrams("_t", self.n[0], self.n[1]), carry).persist()
         self._memo = (docs, carry, out)
+        self._cached.append(out)
         return out
 
+    def release(self) -> None:
+        """Drop the stored counts (they are made again when needed)."""
+        _release(self)
+
     def fit(self, docs: DataFrame, carry=()) -> "CharNGrams":
-        self.vocab = terms.fit_vocabulary(self.counts(docs, carry), self.min_df)
+        self.vocab = terms.fit_vocabulary(self.counts(docs, carry), self.min_df, self.weight)
         return self
 
     def weights(self, docs: DataFrame, carry=()) -> DataFrame:
@@ -63,7 +72,7 @@ class CharNGrams:
 
     def fit_transform(self, docs: DataFrame, carry=()) -> DataFrame:
         counts = self.counts(docs, carry)
-        self.vocab = terms.fit_vocabulary(counts, self.min_df)
+        self.vocab = terms.fit_vocabulary(counts, self.min_df, self.weight)
         inv = terms.apply_vocabulary(counts, self.vocab)
         return _long(terms.normalize_rows(terms.tf_idf(inv, 0, use_idf=False), self.norm), self.fset, carry)
 
@@ -139,6 +148,12 @@ class SentenceLengths:
     fit_transform = transform
 
 
+def _release(extractor) -> None:
+    for df in extractor._cached:
+        df.unpersist()
+    extractor._cached, extractor._memo = [], None
+
+
 def _carry(features: DataFrame, docs: DataFrame, carry) -> DataFrame:
     carry = [c for c in carry if c in docs.columns and c != "doc_id"]
     if not carry:
@@ -171,6 +186,7 @@ class TagNGrams:
     norm: str | None = "l2"
     min_df: int = 1
     fset: str | None = None
+    weight: str | None = None  # column of row multiplicities, counted in df and N
     vocab: DataFrame | None = field(default=None, repr=False)
     n_docs: int | None = None
 
@@ -179,6 +195,7 @@ class TagNGrams:
         return self.fset or f"{self.tag_col}_ngram"
 
     _memo: tuple | None = field(default=None, repr=False)
+    _cached: list = field(default_factory=list, repr=False)
 
     def counts(self, toks: DataFrame) -> DataFrame:
         if self._memo and self._memo[0] is toks:
@@ -186,11 +203,19 @@ class TagNGrams:
         g = tag_ngrams(toks, self.tag_col, self.n)
         out = g.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c")).persist()
         self._memo = (toks, out)
+        self._cached.append(out)
         return out
 
+    def release(self) -> None:
+        """Drop the stored counts (they are made again when needed)."""
+        _release(self)
+
     def fit(self, toks: DataFrame, docs: DataFrame) -> "TagNGrams":
-        self.vocab = terms.fit_vocabulary(self.counts(toks), self.min_df)
-        self.n_docs = docs.count() if self.n_docs is None else self.n_docs
+        counts, n = self.counts(toks), F.count(F.lit(1))
+        if self.weight:
+            counts, n = counts.join(docs.select("doc_id", self.weight), "doc_id"), F.sum(self.weight)
+        self.vocab = terms.fit_vocabulary(counts, self.min_df, self.weight)
+        self.n_docs = docs.agg(n).first()[0] if self.n_docs is None else self.n_docs
         return self
 
     def transform(self, toks: DataFrame, docs: DataFrame | None = None, carry=()) -> DataFrame:

@@ -79,8 +79,10 @@ class FeatureSetReductor:
     k_ratio: float = 1.0
     normalize: bool = True
     label: str = "label"
+    weight: str | None = None  # column of row multiplicities
     selected: DataFrame | None = field(default=None, repr=False)
     k_used: int | None = None
+    _cached: list = field(default_factory=list, repr=False)
 
     def _reduce(self, feats: DataFrame) -> DataFrame:
         from chronotext.operators.terms import normalize_rows
@@ -88,7 +90,8 @@ class FeatureSetReductor:
 
     def fit_transform(self, docs: DataFrame, toks: DataFrame | None = None) -> DataFrame:
         feats = self._reduce(self._extract_fit(docs, toks)).persist()
-        scores = chi2_scores(feats, docs, self.label).persist()
+        scores = chi2_scores(feats, docs, self.label, self.weight).persist()
+        self._cached += [feats, scores]
         n_features = scores.count()
         self.k_used = k_for(n_features, self.k, self.k_ratio)
         self.selected = select_top_k(scores, self.k_used).select("fset", "term")
@@ -98,11 +101,20 @@ class FeatureSetReductor:
         feats = self._reduce(self._extract(docs, toks))
         return keep_terms(feats, self.selected, self.k_used)
 
+    def release(self) -> None:
+        """Drop the stored features and scores of the fit, and the extractor's counts."""
+        for df in self._cached:
+            df.unpersist()
+        self._cached = []
+        if hasattr(self.extractor, "release"):
+            self.extractor.release()
+
     def _extract_fit(self, docs, toks):
         ex = self.extractor
+        carry = [self.label, self.weight] if self.weight else [self.label]
         if hasattr(ex, "tag_col"):
-            return ex.fit_transform(toks, docs, carry=[self.label])
-        return ex.fit_transform(docs, carry=[self.label])
+            return ex.fit_transform(toks, docs, carry=carry)
+        return ex.fit_transform(docs, carry=carry)
 
     def _extract(self, docs, toks):
         ex = self.extractor

@@ -484,3 +484,25 @@ FROM train
 UNION ALL
 SELECT doc_id, 'word_length' AS fset, term, round(value, 6) AS value, copy_no::INTEGER AS copy_no, 'test' AS split
 FROM test"""
+
+
+SQL["segment_features"] = f"""WITH {DOCS}, {LABELLED}, {TOKENS}, {SEGMENTS},
+texts AS (
+  SELECT doc_id::VARCHAR AS row_id, doc_id, 'full' AS kind, text, NULL::INTEGER AS first_sent, NULL::INTEGER AS last_sent FROM docs
+  UNION ALL SELECT doc_id || '#' || seg_no, doc_id, 'fragment', text, first_sent, last_sent FROM frags),
+seg_tokens AS (
+  SELECT row_id, count(*) AS n_tokens FROM texts x JOIN tokens t
+    ON x.doc_id = t.doc_id AND (x.kind = 'full' OR t.sent_no BETWEEN x.first_sent AND x.last_sent) GROUP BY row_id),
+sc AS (SELECT row_id, string_split(regexp_replace(lower(text), {_q(tx.WS_RUN)}, ' ', 'g'), '') AS ch FROM texts),
+sg AS (SELECT row_id, unnest({ngram_terms('ch')}) AS term FROM sc),
+scnt AS (SELECT row_id, term, count(*) AS c FROM sg GROUP BY row_id, term),
+svocab AS (SELECT term FROM scnt GROUP BY term HAVING count(*) >= 3),
+sgrams AS (SELECT row_id, sum(c)::BIGINT AS n_grams FROM scnt JOIN svocab USING (term) GROUP BY row_id)
+SELECT x.row_id, x.doc_id, x.kind, l.label, n_tokens, n_grams
+FROM texts x JOIN labelled l ON x.doc_id = l.doc_id JOIN seg_tokens s ON s.row_id = x.row_id
+LEFT JOIN sgrams g ON g.row_id = x.row_id"""
+
+SQL["function_words"] = f"""WITH {DOCS},
+wt AS (SELECT doc_id, unnest(list_filter({tokens('lower(text)')}, lambda t: regexp_matches(t, {_q(tx.LETTER)}))) AS term FROM docs),
+top AS (SELECT term FROM wt GROUP BY term ORDER BY count(*) DESC, term LIMIT 50)
+SELECT doc_id, term, count(*) AS c FROM wt WHERE term IN (SELECT term FROM top) GROUP BY doc_id, term"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronotext.config import Config
 from chronotext.functions import rules
 from chronotext.functions import text as tx
 from chronotext.operators import annotate, features, labels, segment, selection
@@ -517,8 +518,8 @@ def _dev_test(spark, sf_dir):
 
 
 def q_feature_vectors(spark, sf_dir):
-    """All four families fitted on folds 1-4, applied to fold 0, each
-    reduced to its chi2 top-k, stacked (rows-only)."""
+    """All four families fitted on the documents and fragments of folds 1-4,
+    applied to fold 0, each reduced to its chi2 top-k, stacked (rows-only)."""
     dev, test = _dev_test(spark, sf_dir)
     fv = dating.extract_feature_vectors(dev, test)
     return fv.dev.withColumn("split", F.lit("dev")).unionByName(fv.test.withColumn("split", F.lit("test")))
@@ -530,8 +531,11 @@ def q_lr_grid_cv(spark, sf_dir):
     dev, test = _dev_test(spark, sf_dir)
     fv = dating.extract_feature_vectors(dev, test)
     inner = evaluation.stratified_group_folds(dev.select("doc_id", "label"), K, "label", "doc_id", SEED)
-    vec = lr.assemble(fv.dev, fv.index, fv.n_features, dev).join(inner, "doc_id")
+    inner = inner.select(F.col("doc_id").alias("parent_id"), "fold")
+    vec = (lr.assemble(fv.dev, fv.index, fv.n_features, fv.dev_rows)
+           .join(fv.dev_rows, "doc_id").join(inner, "parent_id"))
     _, table, _ = lr.GridSearch().fit(vec, K)
+    fv.release()
     return spark.createDataFrame(table, "C double, class_weight string, mean_accuracy double")
 
 
@@ -656,3 +660,40 @@ def q_segment_tokens_reference(spark, sf_dir):
 
 
 QUERIES["segment_tokens_reference"] = q_segment_tokens_reference
+
+
+def q_segment_features(spark, sf_dir):
+    """Rows of the model (documents and fragments), each with the number of
+    its tokens attached by sentence and of its char n-grams in the vocabulary
+    fitted on all rows."""
+    seg = dating.segment_rows(_labelled(spark, sf_dir))
+    chars = features.CharNGrams().fit(seg.rows).totals(seg.rows)
+    toks = seg.toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    out = seg.rows.join(toks, "doc_id", "left").join(chars, "doc_id", "left")
+    return out.select(F.col("doc_id").alias("row_id"), F.col("parent_id").alias("doc_id"), "kind", "label",
+                      "n_tokens", F.col("n_terms").alias("n_grams"))
+
+
+def q_dating_run(spark, sf_dir):
+    """Every document scored over two outer folds with the default families,
+    result rows appended to a table and read back (rows-only).  The grid is
+    three strengths and both class weights, on two inner folds."""
+    path = scratch_path(spark, "dating-results")
+    dating.run(_labelled(spark, sf_dir), Config(c_grid=(1.0, 100.0, 10000.0), folds=2), folds=2, results_path=path)
+    return results.load_results(spark, path)
+
+
+def q_function_words(spark, sf_dir):
+    """Function words per document; the words are the most frequent ones of
+    the corpus itself, as the fixed list of the configuration is empty."""
+    d = _docs(spark, sf_dir)
+    words = d.select(F.explode(tx.word_tokens(F.col("text"))).alias("term")).groupBy("term").count()
+    top = words.orderBy(F.col("count").desc(), "term").limit(50)
+    return features.function_word_counts(d, [r["term"] for r in top.collect()])   # 50 words
+
+
+QUERIES.update({
+    "segment_features": q_segment_features,
+    "dating_run": q_dating_run,
+    "function_words": q_function_words,
+})
