@@ -21,10 +21,15 @@ MIN_TOKENS = 8
 SEG_TOKENS = 400  # segment_min_token_size of the reference configuration
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned corpus for queries that read it once; nothing is stored."""
+    return corpus.load_documents(spark, sf_dir)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned, doc-partitioned corpus; persisted because every query
-    reads it in several branches (features, labels, folds)."""
-    return corpus.load_documents(spark, sf_dir).persist()
+    """The cleaned, doc-partitioned corpus; persisted for queries that read
+    its text in several branches."""
+    return _rows(spark, sf_dir).persist()
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources, cleaning, labels --------------------------------------------
 
 def q_corpus_clean(spark, sf_dir):
-    return _docs(spark, sf_dir).select(*corpus.DOC_COLUMNS)
+    return _rows(spark, sf_dir).select(*corpus.DOC_COLUMNS)
 
 
 def q_corpus_filter_label(spark, sf_dir):
@@ -58,7 +63,7 @@ def q_class_balance(spark, sf_dir):
 # --- segmentation ----------------------------------------------------------
 
 def q_sentences(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     s = d.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_no", "sentence"))
     return s.select("doc_id", F.col("sent_no").cast("int").alias("sent_no"), "sentence",
                     F.size(tx.tokens(F.col("sentence"))).alias("n_tokens"),
@@ -66,7 +71,7 @@ def q_sentences(spark, sf_dir):
 
 
 def q_segments_endline(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     s = d.select("doc_id", F.posexplode(tx.endlines(F.col("text"))).alias("line_no", "line"))
     return s.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
 
@@ -79,31 +84,31 @@ def _frag_rows(d: DataFrame, frags) -> DataFrame:
 
 
 def q_sentence_merge(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     return _frag_rows(d, segment.merge_short_sentences(segment.sentence_units(F.col("text")), MIN_TOKENS))
 
 
 def q_sentence_merge_reference(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     return _frag_rows(d, segment.merge_short_sentences(
         segment.sentence_units(F.col("text")), MIN_TOKENS, mode="reference"))
 
 
 def q_windows_reference(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     sents = segment.merge_short_sentences(segment.sentence_units(F.col("text")), MIN_TOKENS, "reference")
     out = _frag_rows(d, segment.windows_reference(sents, SEG_TOKENS))
     return out.drop("first_sent", "last_sent")
 
 
 def q_windows_greedy(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     sents = segment.merge_short_sentences(segment.sentence_units(F.col("text")), MIN_TOKENS)
     return _frag_rows(d, segment.windows_greedy(sents, SEG_TOKENS))
 
 
 def q_windows_endline(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     return _frag_rows(d, segment.windows_greedy(segment.line_fragments(F.col("text")), SEG_TOKENS))
 
 
@@ -123,7 +128,7 @@ def q_segment_index(spark, sf_dir):
 # --- annotation -------------------------------------------------------------
 
 def q_tokens_tagged(spark, sf_dir):
-    return annotate.tokens_table(_docs(spark, sf_dir))
+    return annotate.tokens_table(_rows(spark, sf_dir))
 
 
 def q_segment_token_join(spark, sf_dir):
@@ -168,12 +173,12 @@ def q_sentence_length_reference(spark, sf_dir):
 
 
 def q_char_ngram_vocab(spark, sf_dir):
-    m = features.CharNGrams().fit(_docs(spark, sf_dir))
+    m = features.CharNGrams().fit(_rows(spark, sf_dir))
     return m.vocab.select("term", "df")
 
 
 def q_char_ngram_l1(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     ex = features.CharNGrams()
     ex.fit(d)
     w = ex.weights(d)
@@ -181,13 +186,13 @@ def q_char_ngram_l1(spark, sf_dir):
 
 
 def q_char_ngram_totals(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     ex = features.CharNGrams().fit(d)
     return ex.totals(d)
 
 
 def q_punctuation_freq(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _rows(spark, sf_dir)
     ex = features.Punctuation()
     w = features.terms.normalize_rows(features.terms.tf_idf(ex.counts(d), 0, use_idf=False), "l1")
     return _rounded(w.select("doc_id", "term", F.col("c").cast("long").alias("c"), "value"))
@@ -211,10 +216,10 @@ def q_dep_ngram_tfidf(spark, sf_dir):
 # --- selection -----------------------------------------------------------------
 
 def _char_scores(spark, sf_dir) -> DataFrame:
-    d = _labelled(spark, sf_dir)
-    f = features.CharNGrams().fit_transform(d, carry=["label"])
+    d = labels.label_encode(_rows(spark, sf_dir), rules.LANG_LABELS, "epoch")
+    f = features.CharNGrams().fit_transform(d, carry=["label"])   # the counts are stored, not the text
     f = features.terms.normalize_rows(f, "l2")
-    return selection.chi2_scores(f, d, "label")
+    return selection.chi2_scores(f, _labels(spark, sf_dir), "label")
 
 
 def q_chi2_scores(spark, sf_dir):
@@ -276,8 +281,16 @@ SEED = 0
 
 
 def _binary(spark, sf_dir) -> DataFrame:
-    lab = corpus.read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    return _docs(spark, sf_dir).join(lab, "doc_id")
+    return _docs(spark, sf_dir).join(_toxic(spark, sf_dir), "doc_id")
+
+
+def _toxic(spark, sf_dir) -> DataFrame:
+    return corpus.read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+
+
+def _binary_labels(spark, sf_dir) -> DataFrame:
+    """Ids and binary labels for queries that need no text."""
+    return corpus.document_labels(spark, sf_dir).select("doc_id").join(_toxic(spark, sf_dir), "doc_id")
 
 
 def _binary_x(spark, sf_dir):
@@ -287,11 +300,11 @@ def _binary_x(spark, sf_dir):
 
 
 def q_dro_samples(spark, sf_dir):
-    return dro.samples_to_match_ratio(_binary(spark, sf_dir), RATIO, seed=SEED)
+    return dro.samples_to_match_ratio(_binary_labels(spark, sf_dir), RATIO, seed=SEED)
 
 
 def q_dro_replicate(spark, sf_dir):
-    d = _binary(spark, sf_dir)
+    d = _binary_labels(spark, sf_dir)
     s = dro.samples_to_match_ratio(d, RATIO, seed=SEED)
     return dro.replicate(d.select("doc_id", "label"), s).select("doc_id", "copy_no", "label")
 
@@ -339,7 +352,8 @@ def _folded(spark, sf_dir):
 
 
 def q_folds_stratified(spark, sf_dir):
-    return _folded(spark, sf_dir).select("doc_id", "label", "fold")
+    folds = evaluation.stratified_group_folds(_labels(spark, sf_dir), K, "label", "doc_id", SEED)
+    return folds.select("doc_id", "label", "fold")
 
 
 def q_class_weights(spark, sf_dir):
@@ -349,9 +363,9 @@ def q_class_weights(spark, sf_dir):
 def q_loo_stats(spark, sf_dir):
     """Leave-one-out statistics by subtraction: training size, own-class
     training size and char n-gram vocabulary size without the document."""
-    d = _labelled(spark, sf_dir)
+    d = _labels(spark, sf_dir)
     ex = features.CharNGrams()
-    counts = ex.counts(d)
+    counts = ex.counts(_rows(spark, sf_dir))
     vocab_all = features.terms.fit_vocabulary(counts, 1)
     n_vocab = vocab_all.where(F.col("df") >= ex.min_df).count()
     lost = (counts.join(vocab_all, "term").where(F.col("df") == ex.min_df)
