@@ -124,32 +124,48 @@ def repeated_strings(parts: list[bytes], strings: np.ndarray, group: np.ndarray,
 
 
 def _suffix_sort(data, hashes, pos, group, length) -> np.ndarray:
-    """Order of suffixes by their first ``length`` bytes within each group (groups are contiguous)."""
+    """Order of suffixes by their first ``length`` bytes within each group (groups are contiguous).
+
+    In a merge only the left run is searched for its places; the right run
+    takes the places that are left. The first eight bytes, or equal hashes of
+    all ``length`` bytes, settle most comparisons.
+    """
     n = len(pos)
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(first, n))
     base, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
     local = np.arange(n) - base
+    head = np.zeros(n, dtype=np.uint64)
+    for k in range(min(8, length)):
+        head = (head << np.uint64(8)) | data[pos + k]
+    whole = hashes.piece(pos, length)
     order = np.arange(n)
     run = 1
     while run < sizes.max():
-        mine = local // run
-        other = mine ^ 1
-        lo = np.minimum(other * run, size)
-        hi = np.minimum(lo + run, size)
-        right = (mine & 1).astype(bool)
-        begin = lo.copy()
-        live = np.flatnonzero(lo < hi)
+        right = (local // run | 1) * run  # where the right run of each block begins
+        left = np.flatnonzero((local < right) & (right < size))
+        begin = (base + right)[left]
+        lo, hi = begin.copy(), (base + np.minimum(right + run, size))[left]
+        heads = head[order]
+        live = np.arange(len(left))
         while len(live):
             mid = (lo[live] + hi[live]) // 2
-            less = _compare(data, hashes, pos[order[base[live] + mid]], pos[order[live]], length)
-            below = np.where(right[live], less <= 0, less < 0)
-            lo[live] = np.where(below, mid + 1, lo[live])
-            hi[live] = np.where(below, hi[live], mid)
+            mine = left[live]
+            less = heads[mid] < heads[mine]
+            close = np.flatnonzero(heads[mid] == heads[mine])
+            p, q = order[mid[close]], order[mine[close]]
+            differ = whole[p] != whole[q]
+            close, p, q = close[differ], p[differ], q[differ]
+            less[close] = _compare(data, hashes, pos[p], pos[q], length) < 0
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
-        place = np.minimum(mine, other) * run + (local - mine * run) + (lo - begin)
+        place = left + (lo - begin)
         after = np.empty_like(order)
-        after[base + place] = order
+        after[place] = order[left]
+        free, rest = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+        free[place] = rest[left] = False
+        after[free] = order[rest]
         order = after
         run *= 2
     return order
