@@ -102,6 +102,10 @@ class Punctuation:
 
     fit_transform = transform
 
+    def totals(self, docs: DataFrame) -> DataFrame:
+        """Number of punctuation marks per document that has any."""
+        return terms.term_totals(self.counts(docs))
+
 
 @dataclass
 class WordLengths:

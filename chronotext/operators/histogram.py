@@ -5,14 +5,14 @@ holds length ``upto-1``; longer values leave the denominator.  The value of
 bin ``b`` is the share of in-range values <= b (an ECDF).
 
 Counting is an ``explode`` + ``groupBy(doc_id, bin)`` with partial
-aggregation; the per-document sparse counts (at most ``upto-2`` entries)
-are turned into the dense cumulative vector inside the row by range
+aggregation; the per-document sparse counts (at most ``upto-2`` entries),
+summed up in bin order by a window over the document, are turned into the dense cumulative vector inside the row by range
 expansion, O(bins) per document, with no join against a bin grid.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,9 +26,10 @@ def ecdf(values: DataFrame, doc_ids: DataFrame, upto: int, prefix: str,
     counts = (values.where((F.col("v") >= 1) & (F.col("v") <= upto - 1))
               .groupBy("doc_id", F.least(F.col("v"), F.lit(nb)).alias("bin"))
               .agg(F.count(F.lit(1)).alias("n")))
-    per_doc = counts.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h"),
-        F.sum("n").alias("total"))
+    so_far = F.sum("n").over(Window.partitionBy("doc_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    per_doc = counts.withColumn("cum", so_far).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("bin", "cum"))).alias("h"),
+        F.max("cum").alias("total"))
     docs = doc_ids.select("doc_id").join(per_doc, "doc_id", "left")
 
     h = F.col("h")
@@ -36,9 +37,8 @@ def ecdf(values: DataFrame, doc_ids: DataFrame, upto: int, prefix: str,
 
     def run(e, i):  # entry i covers bins [bin_i, bin_{i+1} - 1]; share through entry i
         nxt = F.when(i + 1 < size, F.element_at(h, i + 2)["bin"]).otherwise(F.lit(nb + 1))
-        cum = F.aggregate(F.slice(h, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["n"])
         return F.struct(e["bin"].alias("lo"), (nxt - 1).alias("hi"),
-                        (cum.cast("double") / F.col("total").cast("double")).alias("share"))
+                        (e["cum"].cast("double") / F.col("total").cast("double")).alias("share"))
 
     # materialise the runs first: a lambda re-evaluates what it refers to
     docs = docs.select("doc_id", "total", F.when(F.col("total") > 0, F.transform(h, run)).alias("runs"))

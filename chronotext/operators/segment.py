@@ -179,7 +179,10 @@ class Segmentation:
 
 def segment_index(segments: DataFrame, name_col: str = "filename", out: str = "group") -> DataFrame:
     """Running per-name suffix: whole documents first, then fragments, in
-    document and fragment order; ``group = name || '_' || k``."""
+    document and fragment order; ``group = name || '_' || k``.
+
+    Rows are sorted and checkpointed with all their columns: pass only those
+    that are wanted (the index needs no text)."""
     kind_rank = F.when(F.col("kind") == "full", 0).otherwise(1)
     ranked = running_index(segments.withColumn("_kind_rank", kind_rank), [name_col],
                            ["_kind_rank", "doc_id", "seg_no"], name="name_idx")

@@ -174,7 +174,7 @@ tokens AS (SELECT doc_id, sent_no,
   FROM tk)"""
 
 
-def tag_tfidf(tag: str) -> str:
+def tag_counts(tag: str) -> str:
     return f"""WITH {DOCS}, {TOKENS},
 t AS (SELECT doc_id, sent_no, tok_no, CASE WHEN coalesce({tag}, '') = '' THEN 'Unk' ELSE {tag} END AS tag FROM tokens),
 n AS (SELECT doc_id, tag AS g1,
@@ -182,7 +182,11 @@ n AS (SELECT doc_id, tag AS g1,
   tag || '-' || lead(tag, 1) OVER w || '-' || lead(tag, 2) OVER w AS g3
   FROM t WINDOW w AS (PARTITION BY doc_id, sent_no ORDER BY tok_no)),
 g AS (SELECT doc_id, unnest([g1, g2, g3]) AS term FROM n),
-cnt AS (SELECT doc_id, term, count(*) AS c FROM g WHERE term IS NOT NULL GROUP BY doc_id, term),
+cnt AS (SELECT doc_id, term, count(*) AS c FROM g WHERE term IS NOT NULL GROUP BY doc_id, term)"""
+
+
+def tag_tfidf(tag: str) -> str:
+    return f"""{tag_counts(tag)},
 vocab AS (SELECT term, count(*) AS df FROM cnt GROUP BY term),
 nd AS (SELECT count(*)::DOUBLE AS n FROM docs),
 w AS (SELECT doc_id, term, (1 + ln(c)) * (ln((1 + nd.n) / (1 + df)) + 1) AS v FROM cnt JOIN vocab USING (term), nd)
@@ -506,3 +510,43 @@ SQL["function_words"] = f"""WITH {DOCS},
 wt AS (SELECT doc_id, unnest(list_filter({tokens('lower(text)')}, lambda t: regexp_matches(t, {_q(tx.LETTER)}))) AS term FROM docs),
 top AS (SELECT term FROM wt GROUP BY term ORDER BY count(*) DESC, term LIMIT 50)
 SELECT doc_id, term, count(*) AS c FROM wt WHERE term IN (SELECT term FROM top) GROUP BY doc_id, term"""
+
+
+_DRAWN = f"""{_BIN}, {CELLS}, {IG}, {SAMPLES},
+wx AS (SELECT l1.doc_id, l1.term, value * ig AS w FROM l1 JOIN ig USING (term) WHERE value * ig > 0),
+totals AS (SELECT doc_id, sum(c) AS n_words FROM inv GROUP BY doc_id)"""
+
+SQL["dro_latent_expected"] = f"""{_DRAWN},
+wz AS (SELECT doc_id, sum(w) AS z FROM wx GROUP BY doc_id),
+per AS (SELECT s.doc_id, s.copies * t.n_words / z AS m FROM samples s JOIN totals t USING (doc_id) JOIN wz USING (doc_id)),
+mass AS (SELECT term, sum(w * m) AS mass FROM wx JOIN per USING (doc_id) GROUP BY term),
+ctot AS (SELECT term, sum(value) AS tot FROM l1 GROUP BY term)
+SELECT l1.doc_id AS latent_doc, round(sum(mass * value / tot), 3) AS expected
+FROM l1 JOIN mass USING (term) JOIN ctot USING (term) GROUP BY l1.doc_id"""
+
+SQL["dro_draw_totals"] = f"""{_DRAWN}
+SELECT s.doc_id, unnest(range(0, s.copies))::INTEGER AS copy_no, t.n_words::BIGINT AS n_drawn
+FROM samples s JOIN totals t USING (doc_id) WHERE s.doc_id IN (SELECT doc_id FROM wx)"""
+
+SQL["dro_transform"] = f"""WITH {DOCS}, {BDOCS}, {BFOLD},
+bdev AS (SELECT b.* FROM bdocs b JOIN dev ON b.doc_id = dev.doc_id),
+btest AS (SELECT b.* FROM bdocs b JOIN bfold f ON b.doc_id = f.doc_id WHERE f.fold = 0),
+{char_counts('bdev')}, {CELLS.replace("FROM bdocs", "FROM dev")}, {IG},
+tchars AS (SELECT doc_id, string_split(regexp_replace(lower(text), {_q(tx.WS_RUN)}, ' ', 'g'), '') AS ch
+           FROM btest WHERE length(text) > 0),
+tgrams AS (SELECT DISTINCT doc_id, unnest({ngram_terms('ch')}) AS term FROM tchars),
+tobs AS (SELECT doc_id, count(*) AS n_observed, max(ig) AS most FROM tgrams JOIN ig USING (term) GROUP BY doc_id)
+SELECT doc_id, unnest(range(0, 2))::INTEGER AS copy_no, n_observed,
+       CASE WHEN most > 0 THEN 1.0 END::DOUBLE AS latent_norm FROM tobs"""
+
+SQL["punctuation_totals"] = f"""WITH {DOCS},
+pc AS (SELECT doc_id, unnest(list_filter(string_split(lower(text), ''), lambda x: list_contains({PUNCT_LIST}, x))) AS term FROM docs)
+SELECT doc_id, count(*) AS n_terms FROM pc GROUP BY doc_id"""
+
+SQL["pos_ngram_totals"] = f"{tag_counts('pos')} SELECT doc_id, sum(c)::BIGINT AS n_terms FROM cnt GROUP BY doc_id"
+
+SQL["drop_null"] = f"""WITH {DOCS},
+lines AS (SELECT doc_id, (i - 1)::INTEGER AS line_no, line AS text
+          FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+                FROM (SELECT doc_id, {endlines('text')} AS ls FROM docs)))
+SELECT doc_id, line_no, text FROM lines WHERE {n_words('text')} > 0"""

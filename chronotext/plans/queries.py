@@ -121,7 +121,7 @@ def q_segments_full(spark, sf_dir):
 def q_segment_index(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("name", F.concat(F.col("filename"), F.lit("_0")))
     seg = segment.Segmentation("by_sentence", SEG_TOKENS, MIN_TOKENS).transform(d, keep=["name"])
-    out = segment.segment_index(seg, "name")
+    out = segment.segment_index(seg.drop("text"), "name")
     return out.select("doc_id", "kind", "seg_no", "group")
 
 
@@ -711,3 +711,70 @@ QUERIES.update({
     "dating_run": q_dating_run,
     "function_words": q_function_words,
 })
+
+
+def _draws_input(spark, sf_dir):
+    d, ex, x = _binary_x(spark, sf_dir)
+    words = ex.totals(d).select("doc_id", F.col("n_terms").alias("n_words"))
+    m = dro.DistributionalRandomOversampling(RATIO, seed=SEED).fit(x, d)
+    return x, m, words, dro.samples_to_match_ratio(d, RATIO, seed=SEED)
+
+
+def q_dro_latent_expected(spark, sf_dir):
+    """Exact expected draws of every latent document over all oversampled rows."""
+    x, m, words, samples = _draws_input(spark, sf_dir)
+    return dro.expected_draws(x, m.ig, m.train_x, words, samples).withColumn("expected", F.round("expected", 3))
+
+
+def q_dro_draw_totals(spark, sf_dir):
+    """Latent terms drawn for every copy: as many as its row has terms."""
+    x, m, words, samples = _draws_input(spark, sf_dir)
+    drawn = dro.latent_draws(x, m.ig, m.train_x, words, samples, SEED)
+    return drawn.groupBy("doc_id", "copy_no").agg(F.sum("n").alias("n_drawn"))
+
+
+def q_dro_transform(spark, sf_dir):
+    """DRO fitted on folds 1-4 and applied to the documents of fold 0, two
+    copies each given as a table: observed terms and the length of the latent
+    vector of every copy."""
+    d = evaluation.stratified_group_folds(_binary(spark, sf_dir), K, "label", "doc_id", SEED).persist()
+    dev, test = d.where(F.col("fold") != 0), d.where(F.col("fold") == 0)
+    ex = features.CharNGrams()
+    x = ex.fit_transform(dev, carry=["label"])
+    words = ex.totals(dev).select("doc_id", F.col("n_terms").alias("n_words"))
+    m = dro.DistributionalRandomOversampling(RATIO, seed=SEED)
+    m.fit_transform(x.drop("label"), dev.select("doc_id", "label"), words)
+    copies = test.select("doc_id", F.lit(2).alias("copies"))
+    out = m.transform(ex.transform(test), ex.totals(test).withColumnRenamed("n_terms", "n_words"), copies)
+    latent = F.col("fset") == m.fset
+    return _rounded(out.groupBy("doc_id", "copy_no").agg(
+        F.count(F.when(~latent, 1)).alias("n_observed"),
+        F.sqrt(F.sum(F.when(latent, F.col("value") * F.col("value")))).alias("latent_norm")), ["latent_norm"])
+
+
+def q_punctuation_totals(spark, sf_dir):
+    return features.Punctuation().totals(_rows(spark, sf_dir))
+
+
+def q_pos_ngram_totals(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    toks = annotate.tokens_table(d)
+    return features.TagNGrams("pos", n=(1, 3)).fit(toks, d).totals(toks)
+
+
+def q_drop_null(spark, sf_dir):
+    """Lines as segments; those without a word have no annotation and go."""
+    lines = _rows(spark, sf_dir).select("doc_id", F.posexplode(tx.endlines(F.col("text"))).alias("line_no", "line"))
+    annotated = F.when(tx.n_word_tokens(F.col("line")) > 0, F.col("line"))
+    kept = labels.drop_null_segments(lines.withColumn("text", annotated))
+    return kept.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "text")
+
+
+QUERIES.update({
+    "dro_latent_expected": q_dro_latent_expected,
+    "dro_draw_totals": q_dro_draw_totals,
+    "dro_transform": q_dro_transform,
+    "punctuation_totals": q_punctuation_totals,
+    "pos_ngram_totals": q_pos_ngram_totals,
+    "drop_null": q_drop_null,
+})
