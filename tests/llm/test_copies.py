@@ -206,3 +206,25 @@ def test_suffix_sort_orders_bytes():
     order = suffix_dedup._suffix_sort(data, suffix_dedup.PrefixHashes(data), pos, group, 200)
     keys = [(group[i], bytes(data[pos[i]:pos[i] + 200])) for i in order]
     assert keys == sorted(keys)
+
+
+def test_suffix_sort_against_counted_strings():
+    rng = np.random.default_rng(5)
+    for trial in range(120):
+        length = int(rng.choice([1, 3, 8, 9, 20, 40]))
+        low, high = ((254, 256), (0, 2))[trial % 2]
+        parts, strings, group = [], [], []
+        for g in range(int(rng.integers(1, 6))):
+            for _ in range(int(rng.integers(1, 9))):
+                k = int(rng.integers(1, 30))
+                body = rng.integers(low, high, k + length - 1).astype(np.uint8).tobytes()
+                if parts and rng.random() < 0.4:  # like the part before, to its end or from it on
+                    body = (parts[-1] * 3 + body)[:k + length - 1] if parts[-1] else body
+                    body += b"x" * (k + length - 1 - len(body))
+                parts.append(body)
+                strings.append(k)
+                group.append(g)
+        got = suffix_dedup.repeated_strings(parts, np.array(strings), np.array(group), length)
+        keys = [(group[i], parts[i][j:j + length]) for i in range(len(parts)) for j in range(strings[i])]
+        counts = Counter(keys)
+        assert got.tolist() == [counts[k] > 1 for k in keys]
