@@ -1,15 +1,19 @@
 """License scans by conditional compression.
 
-A candidate block (a line with a licensing word, and its neighbours when they
-have one too) is compressed by itself and with each template as a raw
-zstandard dictionary. The templates are ranked by how many bytes they save,
-and the winner is confirmed by the exact differences in wording.
+Around every licensing word, each template is laid against every window of
+words that can hold it, across sentences and line ends alike. A window is
+confirmed by the exact differences in wording, compressed by itself and with
+the template as a raw zstandard dictionary, and must save a share of what it
+or the template costs; among overlapping windows the one that saves most
+bytes stays.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -47,11 +51,13 @@ TEMPLATES = {
     "CC0-1.0": ["Released under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+_GAP = r"\s+(?:[#*/%;>|-]+\s+)*"  # between words of a notice, also over line ends with comment marks
 TRIGGER = re.compile(r"(?ai:licen[cs]|redistribut|permission is hereby|released under|public domain|spdx|"
-                     r"free software|copyright|terms of the)")
-LEAST_SAVING = 0.35  # of the block's own compressed size
+                     r"free software|copyright|terms of the)".replace(" ", _GAP))
+LEAST_SAVING = 0.35  # of the compressed size of the window or of the template, whichever is less
 MOST_DIFFERENT = 0.15  # of the template's words
 _WORD = re.compile(r"[\w.+-]*\w")
+_CLOSING = re.compile(r"[.,;:!?)\"']*")
 
 
 class LicenseMatcher:
@@ -62,48 +68,76 @@ class LicenseMatcher:
         for name, texts in templates.items():
             for text in texts:
                 d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.known.append((name, _WORD.findall(text.lower()), zstandard.ZstdCompressor(dict_data=d, **opts)))
-        self.seen: dict[str, tuple] = {}
-
-    def judge(self, block: str) -> tuple[str | None, int, int]:
-        """Confirmed name or None, bytes the best template saves, words of it that differ."""
-        if block in self.seen:
-            return self.seen[block]
-        raw = block.encode()
-        own = len(self.plain.compress(raw))
-        ranked = sorted(((own - len(c.compress(raw)), name, words) for name, words, c in self.known),
-                        key=lambda x: (-x[0], x[1], x[2]))
-        have = _WORD.findall(block.lower())
-        out = (None, ranked[0][0], 0)
-        for saved, name, words in ranked:
-            if saved < LEAST_SAVING * own:
-                break
-            differ = differing_words(words, have)
-            if differ <= MOST_DIFFERENT * len(words) and _numbers(words) <= set(have):
-                out = (name, saved, differ)
-                break
-        if len(self.seen) < 20_000:  # a cache of judgements, not of results
-            self.seen[block] = out
-        return out
+                self.known.append((name, _WORD.findall(text.lower()), len(self.plain.compress(text.encode())),
+                                   zstandard.ZstdCompressor(dict_data=d, **opts)))
+        self.reach = max(len(words) + _spare(words) for _, words, _, _ in self.known)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, int]]:
-        """``(name, start, end, saved bytes, differing words)`` of each confirmed block."""
+        """``(name, start, end, saved bytes, differing words)`` of each notice."""
         found = []
-        for start, end in blocks(text or ""):
-            at, lines = start, []
-            for line in text[start:end].split("\n"):  # a block can hold notices of several licenses
-                name, saved, differ = self.judge(line)
-                if name is not None:
-                    lines.append((name, at, at + len(line), saved, differ))
-                at += len(line) + 1
-            if not lines and "\n" in text[start:end]:  # or one notice over several lines
-                name, saved, differ = self.judge(text[start:end])
-                if name is not None:
-                    lines.append((name, start, end, saved, differ))
-            found += lines
+        for start, end in regions(text or "", self.reach):
+            spots = [m.span() for m in _WORD.finditer(text, start, end)]
+            have = [text[s:e].lower() for s, e in spots]
+            every, fits = set(have), []
+            for name, words, cost, compressor in self.known:
+                if not _numbers(words) <= every or sum(w in every for w in words) < len(words) - _spare(words):
+                    continue
+                for differ, i, j in windows(words, have):
+                    s, e = spots[i][0], _CLOSING.match(text, spots[j - 1][1]).end()
+                    raw = re.sub(_GAP, " ", text[s:e]).encode()
+                    own = len(self.plain.compress(raw))
+                    saved = own - len(compressor.compress(raw))
+                    if saved >= LEAST_SAVING * min(own, cost):
+                        fits.append((-saved, name, differ, s, e))
+            taken = []
+            for saved, name, differ, s, e in sorted(fits):
+                if all(e <= s2 or e2 <= s for _, s2, e2, _, _ in taken):
+                    taken.append((name, s, e, -saved, differ))
+            found += sorted(taken, key=lambda f: f[1])
         return found
 
 
+def _spare(words: list[str]) -> int:
+    return int(MOST_DIFFERENT * len(words))
+
+
+def windows(template: list[str], have: list[str]) -> list[tuple[int, int, int]]:
+    """``(differing words, first, end)`` of the best of each group of overlapping windows that may hold the template.
+
+    A window is long enough for the template and all words that may be put
+    into it; only those with enough words of the template are compared.
+    """
+    n, spare = len(template), _spare(template)
+    left, shared, out = Counter(template), 0, []
+    wanted, numbers = set(template), _numbers(template)
+    for end in range(1, len(have) + n + spare):
+        if end <= len(have):
+            w = have[end - 1]
+            if w in wanted:
+                shared += left[w] > 0
+                left[w] -= 1
+        i = end - n - spare
+        if i > 0 and have[i - 1] in wanted:
+            left[have[i - 1]] += 1
+            shared -= left[have[i - 1]] > 0
+        i = max(i, 0)
+        if shared < n - spare or (have[i] not in wanted and i > 0):
+            continue
+        if out and out[-1][0] == 0 and i < out[-1][2]:
+            continue
+        block = have[i:end]
+        match = difflib.SequenceMatcher(None, template, block, autojunk=False)
+        same = [m for m in match.get_matching_blocks() if m.size]
+        at = (differing_words(template, block), i + same[0].b, i + same[-1].b + same[-1].size)
+        if at[0] > spare or not numbers <= set(have[at[1]:at[2]]):
+            continue
+        if out and at[1] < out[-1][2]:
+            out[-1] = min(out[-1], at)
+        else:
+            out.append(at)
+    return out
+
+
 def differing_words(template: list[str], block: list[str]) -> int:
     """Template words without a counterpart, and words put between its first and last counterpart."""
     ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
@@ -122,29 +156,35 @@ def _numbers(words: list[str]) -> set[str]:
     return {w for w in words if any(c.isdigit() for c in w) or w.startswith("by") or w == "lesser"}
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Runs of lines that each hold a licensing word, up to 4,000 characters a judged run; longer runs line by line."""
+def regions(text: str, reach: int) -> list[tuple[int, int]]:
+    """Stretches that hold all words up to ``reach`` words before and after every licensing word."""
     out: list[tuple[int, int]] = []
-    last = -1
+    near: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        if m.start() < last:
-            continue
-        start = text.rfind("\n", 0, m.start()) + 1
-        last = text.find("\n", m.end())
-        last = len(text) if last < 0 else last
-        lines = [(start, last)] if last - start <= 4000 else _sentences(text, start, last)
-        for s, e in lines:
-            if out and s == out[-1][1] + 1 and e - out[-1][0] <= 4000 and text[s - 1] == "\n":
-                out[-1] = (out[-1][0], e)
-            else:
-                out.append((s, e))
+        if near and m.start() - near[-1][1] < 2000:
+            near[-1][1] = m.end()
+        else:
+            near.append([m.start(), m.end()])
+    for start, end in near:
+        start = _words_back(text, start, reach)
+        for m in islice(_WORD.finditer(text, end), reach + 1):
+            end = m.end()
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
     return out
 
 
-def _sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Sentences with a licensing word of one very long line."""
-    cuts = [start, *(m.end() for m in re.compile(r"[.!?:;] ").finditer(text, start, end)), end]
-    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if TRIGGER.search(text, a, b)]
+def _words_back(text: str, at: int, n: int) -> int:
+    """Where a word begins, ``n`` words or more before ``at``, or the start of the text."""
+    size = 16 * n
+    while size < at:
+        space = re.compile(r"\s").search(text, at - size, at)
+        if space and sum(1 for _ in _WORD.finditer(text, space.end(), at)) > n:
+            return space.end()
+        size *= 2
+    return 0
 
 
 def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -63,6 +63,29 @@ def test_licenses(spark):
     assert license_scan.find_licenses(df.limit(0)).count() == 0
 
 
+def test_license_notices_inline_and_wrapped():
+    matcher = license_scan.LicenseMatcher()
+    notice = "Released under the MIT License."
+    said = "Copyright (c) 2020 Jane Doe and contributors. "
+    for text in (said + notice, "# Tool\n\nA small tool for parsing logs on many machines. " + notice + " See the docs for more.",
+                 said * 3 + notice, said * 85 + notice, said * 100 + notice):  # on either side of 4,000 characters
+        found = matcher.scan(text)
+        assert [(f[0], text[f[1]:f[2]]) for f in found] == [("MIT", notice)], text[:80]
+    names = lambda text: [f[0] for f in matcher.scan(text)]
+    assert names(said + "Licensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
+    assert names("The texts were gathered by hand over many years. Licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+    assert names("Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0. Released under the MIT License.") == ["CC-BY-4.0", "CC-BY-NC-4.0", "MIT"]
+    for name, texts in license_scan.TEMPLATES.items():
+        for t in texts:
+            words = t.split(" ")
+            for width in (2, 3, 7):  # every template, wrapped after so many words, in a comment or not
+                for mark in ("\n", "\n# ", "\n * "):
+                    wrapped = mark.join(" ".join(words[k:k + width]) for k in range(0, len(words), width))
+                    assert set(names(f"some words before\n{wrapped}\nand after")) == {name}, wrapped
+    assert names("The licence was lost. The license of the house was released in the public domain of terms.") == []
+    assert names("copyright " * 20_000) == []
+
+
 def test_gradients_by_finite_differences():
     p = toxicity.Params(window=5, stride=3, hidden=3, word_dim=2, char_dim=2, char_rows=16)
     net = toxicity.Network(p, ["aa", "bb", "cc"])
