@@ -8,6 +8,7 @@ numbers and strings), one message a row.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import ship_package, stored, to_batches
 
 REFERENCE = "$result"  # {"$result": "call id"} in arguments stands for another call's result
+BLOCK = 250_000  # references whose calls a task settles together
 CALL_FIELDS = ("conv_id", "turn", "role", "text", "call_id", "name", "arguments")
 
 
@@ -93,7 +95,7 @@ def violations(value, schema: dict, path: str = "") -> list[str]:
     return out
 
 
-def format_chats(messages: DataFrame, tools: dict[str, dict], max_chain: int = 64) -> DataFrame:
+def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     """One row per message: ``conv_id, turn, role, call_id, position, depth, status, errors, message``.
 
     ``messages`` has ``conv_id, turn, role, text, call_id, name, arguments``: a
@@ -101,7 +103,7 @@ def format_chats(messages: DataFrame, tools: dict[str, dict], max_chain: int = 6
     the ``call_id`` it answers. ``status``: ``message``; for calls ``ok``,
     ``bad_json``, ``unknown_tool``, ``invalid``, ``repeated_id`` (an earlier call
     of the conversation has the id), ``missing_reference``, ``cycle`` (its
-    references lead back to itself, or over more than ``max_chain`` calls), and
+    references lead into a cycle, however long the chain before it), and
     ``unanswered`` for an otherwise sound call without a result; for results
     ``linked``, ``repeated_result`` or ``orphan``. ``depth`` is 0 for a call that
     refers to none, else one more than the deepest it refers to, and -1 in a
@@ -142,7 +144,7 @@ def format_chats(messages: DataFrame, tools: dict[str, dict], max_chain: int = 6
                    .withColumn("status", F.when((F.col("nth") > 1) & (F.col("status") == "ok"), F.lit("repeated_id"))
                                .otherwise(F.col("status"))), "calls")
     named = calls.where("nth = 1 and call_id is not null").select("conv_id", F.col("call_id"), F.col("row").alias("call_row"))
-    depth = _depths(spark, calls, named, max_chain)
+    depth = _depths(spark, calls, named)
     results = keyed.where("not is_call and role = 'tool'")
     here = named.withColumnRenamed("conv_id", "c").withColumnRenamed("call_id", "i")
     linked = results.join(here, results.conv_id.eqNullSafe(here.c) & (results.call_id == here.i), "left").drop("c", "i")
@@ -163,7 +165,7 @@ def format_chats(messages: DataFrame, tools: dict[str, dict], max_chain: int = 6
              .unionByName(keyed.where("not is_call and coalesce(role, '') <> 'tool'").select(
                  *common, F.col("turn").alias("after"), F.lit(None).cast("int").alias("depth"), F.lit("message").alias("status"), F.lit("").alias("errors"),
                  none.alias("canonical_arguments"), F.lit(0).alias("rank"))))
-    late = F.when(F.col("rank") == 0, -1).when(F.col("depth") >= 0, F.col("depth")).otherwise(max_chain + 1)
+    late = F.when(F.col("rank") == 0, -1).when(F.col("depth") >= 0, F.col("depth")).otherwise((1 << 31) - 1)
     order = Window.partitionBy("conv_id").orderBy("after", late, "rank", "turn", "row")
     placed = every.withColumn("position", F.row_number().over(order).cast("long")).drop("row", "rank", "after")
     out = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("call_id", pa.string()),
@@ -209,39 +211,77 @@ def _refuse(name):
     raise ValueError(name)
 
 
-def _depths(spark, calls: DataFrame, named: DataFrame, max_chain: int) -> DataFrame:
-    """``(row, depth, after, missing)``: rounds of joins settle all calls whose references are settled.
+def _depths(spark, calls: DataFrame, named: DataFrame) -> DataFrame:
+    """``(row, depth, after, missing)``: rounds settle calls whose references are settled, until one settles none.
 
     ``depth`` is -1 where none can; ``after`` is the latest turn of the call and of all that it refers to.
+    A round follows references within a block of neighbouring calls to their end, so there are about as many
+    rounds as a chain changes blocks, not as it has calls.
     """
     target = named.withColumnRenamed("conv_id", "c").withColumnRenamed("call_id", "i")
     asked = calls.select("row", "turn", "conv_id", F.explode("refs").alias("ref"))
     edges = stored(spark, asked.join(target, asked.conv_id.eqNullSafe(target.c) & (asked.ref == target.i), "left")
-                   .select("row", "turn", F.col("call_row").alias("needs")), "references")
+                   .select("conv_id", "row", "turn", F.col("call_row").alias("needs")), "references")
     lost = edges.where("needs is null").select("row", F.lit(True).alias("missing")).distinct()
     edges = edges.where("needs is not null").distinct()
     fresh = stored(spark, calls.join(edges.select("row").distinct(), "row", "left_anti")
-                   .select("row", F.lit(0).alias("depth"), F.col("turn").alias("after")), "depths")
+                   .select("row", F.lit(0).alias("depth"), F.col("turn").cast("long").alias("after")), "depths")
     settled = fresh
     # open references, filled in with what the latest round has settled; every round reads stored tables alone
-    pending = edges.select("row", "turn", "needs", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("after"))
-    for _ in range(max_chain):
+    pending = edges.select("conv_id", "row", F.col("turn").cast("long").alias("turn"), "needs",
+                           F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("after"))
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(edges.count() / BLOCK))
+    for n in itertools.count():
         news = fresh.select(F.col("row").alias("needs"), F.col("depth").alias("d"), F.col("after").alias("a"))
         filled = stored(spark, pending.join(news, "needs", "left").select(
-            "row", "turn", "needs", F.coalesce("depth", "d").alias("depth"), F.coalesce("after", "a").alias("after")), "filled")
-        fresh = stored(spark, filled.groupBy("row").agg(
-            F.max("depth").alias("depth"), F.max("after").alias("after"), F.max("turn").alias("turn"),
-            F.max(F.col("depth").isNull()).alias("open")).where("not open")
-            .select("row", (F.col("depth") + 1).alias("depth"), F.greatest("after", "turn").alias("after")), "ready")
+            "conv_id", "row", "turn", "needs", F.coalesce("depth", "d").alias("depth"), F.coalesce("after", "a").alias("after")), "filled")
+        # another number of blocks every other time, so that what one border cuts is whole in the next round
+        fresh = stored(spark, filled.repartitionByRange(blocks + n % 2, "conv_id", "turn", "row")
+                       .select("row", "turn", "needs", "depth", "after").mapInArrow(_settle, "row long, depth int, after long"), "ready")
         if fresh.isEmpty():
             break
         settled = settled.unionByName(fresh)
+        if n % 16 == 15:  # keeps the plan short
+            settled = stored(spark, settled, "settled")
         pending = filled.join(fresh, "row", "left_anti")
     return stored(spark, calls.select("row", "turn").join(settled, "row", "left").join(lost, "row", "left")
                   .select("row", F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("after", "turn").alias("after"),
                           F.coalesce("missing", F.lit(False)).alias("missing")), "call_depths")
 
 
+def _settle(batches):
+    """``(row, depth, after)`` of the calls of a block that need only calls settled before or in the block.
+
+    All references of a call are in one block.
+    """
+    def later(a, b):
+        return a if b is None else b if a is None else max(a, b)
+
+    found: dict[int, list] = {}  # open references, greatest depth referred to, latest turn
+    callers: dict[int, list[int]] = {}
+    for b in batches:
+        for row, turn, needs, depth, after in zip(*(b.column(c).to_pylist() for c in ("row", "turn", "needs", "depth", "after")), strict=True):
+            call = found.setdefault(row, [0, -1, turn])
+            if depth is None:
+                call[0] += 1
+                callers.setdefault(needs, []).append(row)
+            else:
+                call[1:] = max(call[1], depth), later(call[2], after)
+
+    def rows():
+        todo = [row for row, call in found.items() if not call[0]]
+        while todo:
+            row = todo.pop()
+            _, deepest, after = found[row]
+            yield row, deepest + 1, after
+            for caller in callers.get(row, ()):
+                call = found[caller]
+                call[:] = call[0] - 1, max(call[1], deepest + 1), later(call[2], after)
+                if not call[0]:
+                    todo.append(caller)
+    yield from to_batches(rows(), pa.schema([("row", pa.int64()), ("depth", pa.int32()), ("after", pa.int64())]))
+
+
 TOOLS = {
     "lookup": {"type": "object", "required": ["query"], "additionalProperties": False,
                "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 50},

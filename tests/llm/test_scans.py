@@ -172,3 +172,22 @@ def test_chat_links_orders_and_validates(spark):
     for c in {r.conv_id for r in got}:
         assert sorted(r.position for r in got if r.conv_id == c) == list(range(1, 1 + sum(r.conv_id == c for r in got)))
     assert chat.format_chats(df.limit(0), TOOLS).count() == 0
+
+
+def test_long_chains_of_calls_are_no_cycles(spark):
+    call = lambda c, t, i, *needs: (c, t, "assistant", None, i, "f", json.dumps({"a": 1, "b": [{"$result": n} for n in needs]}))
+    n = 150
+    rows = [call(1, k, f"c{k}", *([f"c{k - 1}", f"c{k // 2}"] if k else [])) for k in range(n)]  # turn after turn
+    rows += [call(2, n - k, f"c{k}", *([f"c{k - 1}"] if k else [])) for k in range(n)]  # each refers to a later turn
+    rows += [call(3, k, f"c{k}", f"c{(k + 1) % n}") for k in range(n)]  # a cycle of all
+    rows += [call(4, 1, "in", "x"), call(4, 1, "x", "y"), call(4, 1, "y", "x"), call(4, 2, "free")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, call_id string, name string, arguments string")
+    df = df.repartition(7)
+    got = {(r.conv_id, r.call_id): r for r in chat.format_chats(df, {"f": {}}).collect()}
+    assert len(got) == len(rows)
+    for c in (1, 2):
+        for k in range(n):
+            r = got[(c, f"c{k}")]
+            assert (r.depth, r.status, r.position) == (k, "unanswered", k + 1)
+    assert all(got[(3, f"c{k}")].status == "cycle" and got[(3, f"c{k}")].depth == -1 for k in range(n))
+    assert {i: got[(4, i)].status for i in ("in", "x", "y", "free")} == {"in": "cycle", "x": "cycle", "y": "cycle", "free": "unanswered"}
