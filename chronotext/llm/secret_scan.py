@@ -2,13 +2,14 @@
 
 The compressor's dictionary holds common identifiers; a candidate's novelty is
 the growth of the compressed surroundings when the candidate is put back into
-them. Candidates stand shortly after a sensitive word, and one whose every
-character costs almost a byte is reported.
+them. Candidates stand shortly after a sensitive word, and one that costs almost
+as much as random strings of its own alphabet and length do there is reported.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pyarrow as pa
@@ -30,8 +31,17 @@ SENSITIVE = re.compile(r"(?ai:secret|token|passw(?:or)?d|passphrase|api[_-]?key|
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 64  # characters after a sensitive word in which a candidate begins
 CONTEXT = 256  # characters on either side that the candidate is measured against
-NOVELTY = 0.85  # compressed bytes per character
+NOVELTY = 0.85  # of the mean growth that random strings of the candidate's alphabet and length make in its place
+DRAWS = 12  # such strings
+LETTERS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_-", "=")
 MASK = "<SECRET>"
+#: Letters as frequent as in words and identifiers, in front of every context: literals are then always
+#: entropy-coded, so that a common letter costs less than a rare one in short and long contexts alike.
+PRIMER = "".join(random.Random(0).choices(
+    "etaoinshrdlcumwfgypbvkxjqz" + "ETAOINSHRDLCUMWFGYPBVKXJQZ" + "0123456789" + " _-/+=.",
+    [*(120, 90, 80, 75, 70, 70, 63, 60, 60, 43, 40, 28, 28, 24, 23, 22, 20, 20, 19, 15, 10, 8, 3, 2, 2, 2),
+     *(24, 18, 16, 15, 14, 14, 13, 12, 12, 9, 8, 6, 6, 5, 5, 4, 4, 4, 4, 3, 2, 2, 1, 1, 1, 1),
+     *(20, 18, 14, 8, 8, 8, 8, 8, 8, 8), 60, 24, 24, 18, 2, 4, 14], k=2000))
 
 IDENTIFIERS = " ".join("""
 abstract access account action address admin algorithm allow api application args array assert async auth authorization
@@ -61,6 +71,8 @@ class Scanner:
             level=3, dict_data=zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
             write_content_size=False, write_checksum=False, write_dict_id=False)
         self.novelty = novelty
+        self.primer = PRIMER + identifiers[:800]  # the identifiers, so that matches have been coded before as well
+        self.drawn: dict[tuple[str, int], list[str]] = {}
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         found = []
@@ -71,10 +83,26 @@ class Scanner:
         found += [(*m.span(), 2) for m in HEX.finditer(text)]
         return sorted(found, key=lambda s: (s[0], s[2]))
 
-    def marginal_bytes(self, text: str, start: int, end: int) -> int:
+    def marginal_bytes(self, before: str, body: str, after: str) -> int:
+        around = (self.primer + before + after).encode()
+        return len(self.compressor.compress(around + body.encode())) - len(self.compressor.compress(around))
+
+    def is_novel(self, text: str, start: int, end: int) -> bool:
+        body = text[start:end]
         before, after = text[max(0, start - CONTEXT):start], text[end:end + CONTEXT]
-        with_it = len(self.compressor.compress((before + after + text[start:end]).encode()))
-        return with_it - len(self.compressor.compress((before + after).encode()))
+        plain = body.rstrip("=")
+        usual = [self.marginal_bytes(before, x + body[len(plain):], after) for x in self.random_strings(alphabet(plain), len(plain))]
+        return self.marginal_bytes(before, body, after) * len(usual) >= self.novelty * sum(usual)
+
+    def random_strings(self, letters: str, n: int) -> list[str]:
+        """The same strings for the same alphabet and length in every task."""
+        if (letters, n) not in self.drawn:
+            rng = random.Random(f"{letters},{n}")
+            found = ["".join(rng.choices(letters, k=n)) for _ in range(DRAWS)]
+            if n > 1024 or len(self.drawn) > 5000:
+                return found
+            self.drawn[letters, n] = found
+        return self.drawn[letters, n]
 
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Strings of several kinds of characters after a sensitive word, not inside a base span."""
@@ -90,7 +118,7 @@ class Scanner:
                 body = m.group()
                 if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
                     continue
-                if self.marginal_bytes(text, start, end) >= self.novelty * (end - start):
+                if self.is_novel(text, start, end):
                     found.append((start, end, 3))
         return found
 
@@ -102,6 +130,15 @@ class Scanner:
         return base, sorted(base + self.novel(text, base), key=lambda s: (s[0], s[2]))
 
 
+def alphabet(body: str) -> str:
+    """The groups of characters that ``body`` draws from; hexadecimal letters alone are a group of their own."""
+    found = [g for g in LETTERS if any(c in g for c in body)]
+    for low, high in (("abcdef", LETTERS[2]), ("ABCDEF", LETTERS[4])):
+        if high in found and low not in found:
+            found.append(low)
+    return "".join(sorted(found))
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 

@@ -47,6 +47,28 @@ def test_novel_spans_and_masks(spark):
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
 
 
+def test_novel_recall_by_alphabet_length_and_context():
+    rng, scanner = random.Random(8), secret_scan.Scanner()
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"hex": digits + "ABCDEF", "lower": digits + lower, "upper": digits + lower.upper(), "mixed": digits + lower + lower.upper(),
+             "base64": digits + lower + lower.upper() + "+/"}
+    prose = "The service was started in the morning by the people who run it, and they said that all of the words were written by hand. "
+    places = {"prose": (prose * 3 + "We keep the signature ", " in a safe place. " + prose), "code": ("def f(x):\n    auth = 'Bearer ", "'\n    return x\n"),
+              "alone": ("Bearer ", "")}
+    for place, (before, after) in places.items():
+        for kind, letters in kinds.items():
+            for n in (16, 20, 24, 32, 40, 64, 200):
+                hits = tried = 0
+                while tried < 40:
+                    key = "".join(rng.choices(letters, k=n))
+                    if any(c.isdigit() for c in key) and any(c.isalpha() for c in key) and not scanner.base(key):
+                        tried += 1
+                        hits += (len(before), len(before) + n, 3) in scanner.scan(before + key + after)[1]
+                assert hits >= 34, (place, kind, n, hits)
+        for name in ("your-access-token-goes-here-1", "getUserAccessTokenFromRequest2", "oauth2AuthorizationCodeFlow", "production_database_host1"):
+            assert not scanner.scan(before + name + after)[1], (place, name)
+
+
 def test_licenses(spark):
     texts = ["Words.\nReleased under the MIT License.\nMore.", "This work is licensed under the GNU General Public License, version 2.",
              "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.",
