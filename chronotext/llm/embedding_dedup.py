@@ -20,7 +20,7 @@ from .common import bounded_sample, row_ids, ship_package, stored, to_batches
 
 MIN_COSINE = 0.93
 SAMPLE_ROWS = 20_000  # vectors that the rotations are fitted on
-RECALL = 0.98  # aimed at for pairs right at the least cosine; closer pairs are found more surely
+RECALL = 0.98  # measured for sampled pairs right at the least cosine; closer pairs are found more surely
 BUCKET = 32  # vectors of a label that a bucket should hold
 
 
@@ -38,12 +38,54 @@ def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 30) ->
 
 
 def table_plan(largest: int, min_cosine: float, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
-    """Bits of a table's key, so that buckets stay small, and tables, so that a pair at the limit meets."""
+    """Bits of a table's key, so that buckets stay small, and the fewest tables, for vectors around zero."""
     bits = max(6, math.ceil(math.log2(max(largest, 1) / bucket + 1)))
     meet = (1 - math.acos(min_cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def limit_pairs(x: np.ndarray, min_cosine: float, rng: np.random.Generator, n: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled vectors, and for each a unit vector right at the least cosine: half in any direction, half towards other vectors."""
+    a = x[rng.integers(0, len(x), n)]
+    u = rng.standard_normal(a.shape)
+    u[n // 2:] = x[rng.integers(0, len(x), n - n // 2)]
+    u -= (u * a).sum(axis=1, keepdims=True) * a
+    alone = np.linalg.norm(u, axis=1) < 1e-6  # no other vector in that direction
+    u[alone] = rng.standard_normal((int(alone.sum()), x.shape[1]))
+    u[alone] -= (u[alone] * a[alone]).sum(axis=1, keepdims=True) * a[alone]
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return a, min_cosine * a + math.sqrt(max(0.0, 1 - min_cosine ** 2)) * u
+
+
+def fit_tables(x: np.ndarray, bits: int, least: int, min_cosine: float, recall: float, rng: np.random.Generator,
+               most: int = 16) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Rotations, and so many tables that pairs at the limit meet as often as ``recall`` asks, as measured.
+
+    Vectors minus their mean are at wider angles the more of a common direction they share, those near the mean
+    most of all. Where ``most`` times the ``least`` tables don't do, random rotations about zero take their
+    place, whose angles are those of the cosine.
+    """
+    dim = x.shape[1]
+    if dim == 1:  # vectors of one component are equal or opposite
+        return [learn_rotation(x, rng) for _ in range(bits * least)], least
+    a, b = limit_pairs(x, min_cosine, np.random.default_rng(1))
+    near = np.argsort(np.linalg.norm(a - x.mean(axis=0), axis=1))[:len(a) // 10]
+    half = len(a) // 2
+    for centred in (True, False):
+        spaces, tables, met = [], 0, np.zeros(len(a), dtype=bool)
+        same = np.zeros((len(a), 0), dtype=bool)
+        while not centred or tables < most * least:
+            mean, r = learn_rotation(x, rng) if centred else (np.zeros(dim), np.linalg.qr(rng.standard_normal((dim, dim)))[0])
+            spaces.append((mean, r))
+            same = np.concatenate([same, ((a - mean) @ r >= 0) == ((b - mean) @ r >= 0)], axis=1)
+            while same.shape[1] >= bits:
+                met |= same[:, :bits].all(axis=1)
+                same, tables = same[:, bits:], tables + 1
+                if tables >= least and min(met[:half].mean(), met[half:].mean()) >= recall and met[near].mean() >= min(recall, 0.9):
+                    return spaces, tables
+    raise AssertionError("unreachable")
+
+
 def _unit(values: list | None) -> np.ndarray | None:
     """Unit vector in double precision; None where it can't be compared."""
     if values is None or not len(values) or any(v is None for v in values):
@@ -75,6 +117,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     components link with nothing, nor do vectors of different lengths. Equal
     vectors of a label are compared as one and counted by their number; rows
     with the same id count as different vectors. Null ids have no component.
+    There are as many tables as pairs at ``min_cosine`` made from the sample
+    need for ``recall``, also where vectors share a common direction.
     Other columns are not read; an empty table gives an empty table.
     """
     spark = df.sparkSession
@@ -105,7 +149,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         sample = bounded_sample(distinct.where(F.col("dim") == dim), F.xxhash64("item", F.lit(seed)), sample_rows, "item")
         x = np.frombuffer(b"".join(bytes(r[0]) for r in sample.select("payload").collect()), dtype="<f8").reshape(-1, dim)
         rng = np.random.default_rng(seed)
-        spaces[dim] = [learn_rotation(x, rng) for _ in range(math.ceil(bits * tables / dim))]
+        spaces[dim] = fit_tables(x, bits, tables, min_cosine, recall, rng)
     held = spark.sparkContext.broadcast(spaces)  # dim x dim numbers a rotation
     keys = pa.schema([("item", pa.int64()), ("node", pa.int64())])
 
@@ -117,8 +161,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 for dim in {len(p) // 8 for p in payloads}:
                     at = [k for k, p in enumerate(payloads) if len(p) == 8 * dim]
                     x = np.frombuffer(b"".join(payloads[k] for k in at), dtype="<f8").reshape(-1, dim)
-                    code = np.concatenate([(x - mean) @ r >= 0 for mean, r in held.value[dim]], axis=1)
-                    for t in range(tables):
+                    rotations, n = held.value[dim]
+                    code = np.concatenate([(x - mean) @ r >= 0 for mean, r in rotations], axis=1)
+                    for t in range(n):
                         part = code[:, t * bits:(t + 1) * bits] @ powers
                         for k, v in zip(at, part.tolist(), strict=True):
                             yield items[k], _node(labels[k], dim, t, v)

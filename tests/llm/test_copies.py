@@ -160,6 +160,31 @@ def test_near_vectors_against_all_pairs(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0.0, 0.6, 0.8])
+def test_recall_of_pairs_at_the_limit_around_a_common_direction(spark, common):
+    rng, pairs, dim = np.random.default_rng(7), 1200, 64
+    m = np.zeros(dim)
+    m[0] = common ** 0.5
+    e = rng.standard_normal((2, pairs, dim))
+    e[:, :, 0] = 0
+    e[0] /= np.linalg.norm(e[0], axis=1, keepdims=True)
+    e[1] -= (e[0] * e[1]).sum(axis=1, keepdims=True) * e[0]
+    e[1] /= np.linalg.norm(e[1], axis=1, keepdims=True)
+    c = 1 - (1 - 0.935) / (1 - common)  # so that a pair is at cosine 0.935
+    x = m + (1 - common) ** 0.5 * np.concatenate([e[0], c * e[0] + (1 - c * c) ** 0.5 * e[1]])
+    want = int(((x @ x.T >= 0.93).sum() - len(x)) // 2)
+    df = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    found = sum(r.n_links for r in embedding_dedup.near_vectors(df).collect()) // 2
+    assert want >= pairs and 0.95 * want <= found <= want
+
+
+def test_tables_for_few_vectors():
+    rng = np.random.default_rng(3)
+    for x in (np.eye(4)[:1], np.eye(2), np.array([[1.0, 0.0, 0.0], [0.94, (1 - 0.94 ** 2) ** 0.5, 0.0]]), np.ones((1, 1))):
+        rotations, n = embedding_dedup.fit_tables(x, 6, 8, 0.93, 0.98, rng)
+        assert n >= 8 and sum(r.shape[1] for _, r in rotations) >= 6 * n
+
+
 def test_plan_follows_size():
     assert embedding_dedup.table_plan(0, 0.93)[0] == 6
     assert embedding_dedup.table_plan(10 ** 9, 0.93)[0] > embedding_dedup.table_plan(10 ** 4, 0.93)[0]
