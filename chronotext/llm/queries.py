@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, embedding_dedup, exact_dedup, license_scan, ngram_join, packing, secret_scan, suffix_dedup, toxicity
+from . import bpe, chat, embedding_dedup, exact_dedup, filter_audit, hard_negatives, license_scan, ngram_join, packing, secret_scan, source_mix, suffix_dedup, toxicity
 from .common import table
 
 
@@ -52,6 +53,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"),
+                               label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = source_mix.plan_mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"))
+
+
 def _with_checkpoint(f: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
@@ -60,7 +75,8 @@ def _with_checkpoint(f: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op2_secrets, op3_toxicity, op4_ngram_join, op5_embedding_dedup, op6_licenses, op7_suffix_dedup, op8_chat, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: _with_checkpoint(f) for f in (op1_bpe, op2_secrets, op3_toxicity, op4_ngram_join, op5_embedding_dedup, op6_licenses, op7_suffix_dedup, op8_chat, op9_exact_dedup, op10_packing,
+                                                           op11_filter_audit, op12_hard_negatives, op13_source_mix)}
 
 SQL = {
     "op9_exact_dedup": """
@@ -69,4 +85,6 @@ SQL = {
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.body) AS text_sha256
         FROM t JOIN g ON t.body = g.body""",
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
