@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices, to_batches
+from .common import ship_package, slices, tidied, to_batches, worker_model
 
 # Fixed values of the public vocabulary's format: its white space and its word pattern.
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -221,9 +220,8 @@ def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lens) + np.arange(total)
 
 
-@lru_cache(maxsize=2)
 def load_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+    return worker_model(("bpe", path), lambda: WordBpe(path))
 
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -252,7 +250,8 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         yield (key, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
                                hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest(),
                                *((ids.tolist(),) if with_ids else ()))
-        yield from to_batches(rows(), schema)
+        with tidied():
+            yield from to_batches(rows(), schema)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>" if with_ids else "")
     return src.mapInArrow(run, ddl)

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, stored, to_batches
+from .common import ship_package, stored, tidied, to_batches
 
-BLOCK = 512
+BLOCK = 512  # items of a node that stay together in a comparison
+BLOCK_BYTES = 4 << 20  # and about so many bytes of payloads
+SLICE = 256  # rows that are taken out of a batch at a time
 
 
 def node_sizes(members: DataFrame) -> DataFrame:
@@ -53,7 +55,8 @@ def links(members: DataFrame, items: DataFrame, similar: Callable[[list, list],
         def rows_out():
             for node, group in _groups(batches):
                 yield from _compare(node, group, similar)
-        yield from to_batches(rows_out(), schema)
+        with tidied():
+            yield from to_batches(rows_out(), schema)
 
     found = stored(spark, rows.mapInArrow(compare, "a long, b long, links long"), "links")
     counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("item")).agg(F.sum("links").alias("links"))
@@ -78,14 +81,23 @@ def prune(members: DataFrame, items: DataFrame, similar: Callable[[list, list],
                     for side, axis in zip(sides, (1, 0), strict=True):
                         for k in np.flatnonzero(linked.any(axis=axis)).tolist():
                             yield node, side[k][0]
-        yield from to_batches(rows_out(), schema)
+        with tidied():
+            yield from to_batches(rows_out(), schema)
 
     return rows.mapInArrow(compare, "node long, item long").distinct()
 
 
 def _comparisons(members: DataFrame, items: DataFrame, block: int) -> DataFrame:
-    """Rows sorted by comparison ``(node, i, j)`` of the blocks i and j of a node."""
-    placed = (members.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+    """Rows sorted by comparison ``(node, i, j)`` of the blocks i and j of a node.
+
+    A node has as many blocks as its items and the bytes of their payloads need.
+    """
+    weighed = members.join(items.select("item", F.length("payload").alias("bytes")), "item")
+    weight = weighed.groupBy("node").agg(F.sum("bytes").alias("bytes"))
+    # stored, so that the join below is of two plain shuffles and Spark can split a large node
+    weight = stored(members.sparkSession, weight.where(F.col("bytes") > BLOCK_BYTES), "heavy_nodes")
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(block)), F.ceil(F.coalesce("bytes", F.lit(0)) / F.lit(BLOCK_BYTES))).cast("int")
+    placed = (members.join(weight, "node", "left").withColumn("blocks", blocks)
               .withColumn("mine", F.pmod(F.xxhash64("item", "node"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("node", "item", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine"))
@@ -102,7 +114,7 @@ def _sides(group) -> list[list]:
 def _groups(batches):
     """Runs of equal (node, i, j) of sorted batches, as lists of rows."""
     key, group = None, []
-    for b in batches:
+    for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         cols = [b.column(c).to_pylist() for c in ("node", "i", "j", "item", "mine", "n", "nodes", "payload")]
         for node, i, j, *rest in zip(*cols, strict=True):
             if (node, i, j) != key:

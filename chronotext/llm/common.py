@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -46,6 +49,37 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+_HELD: list = [None, None]  # the key and value of the one model that this worker holds
+
+
+def worker_model(key, load: Callable):
+    """The model named ``key``, kept for the worker's next tasks in place of any other one."""
+    if _HELD[0] != key:
+        _HELD[:] = None, None
+        tidy()
+        _HELD[:] = key, load()
+    return _HELD[1]
+
+
+def tidy() -> None:
+    """Give memory that is free back to the system, so that a reused worker doesn't keep its largest task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+@contextmanager
+def tidied() -> Iterator[None]:
+    """Around a task's work: what it held is given back at its end."""
+    try:
+        yield
+    finally:
+        tidy()
+
+
 def bounded_sample(df: DataFrame, draw: Column, most: int, ties: str) -> DataFrame:
     """At most ``most`` rows, those of the least ``draw`` (a hash), for models that are fitted on a sample.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bucket_join import components, distinct_nodes, links, node_sizes, prune
-from .common import free_name, row_ids, ship_package, slices, stored, to_batches
+from .common import free_name, row_ids, ship_package, slices, stored, tidied, to_batches
 
 WORDS = 5
 MIN_JACCARD = 0.8
@@ -27,6 +27,7 @@ RECALL = 0.999
 LARGE = 512  # a node of more sets is split
 ALIKE = 0.5  # unless their mean similarity is this high
 DEPTH = 10  # then its blocks are compared, however large it is
+SIGNS = 32  # random signs that the mean similarity of a large node is estimated with
 SLACK = 0.25  # a sketch may be that far below the limit before the sets are compared themselves
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -52,7 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of the word n-grams of a text; word hashes are kept between texts."""
 
-    def __init__(self, words: int = WORDS, cache_words: int = 400_000):
+    def __init__(self, words: int = WORDS, cache_words: int = 100_000):
         self.words, self.cache_words, self.known = words, cache_words, {}
         self.factors = [np.uint64(pow(_GOLDEN, 2 * k + 1, 1 << 64)) for k in range(words)]
 
@@ -174,19 +175,9 @@ def split_large(members: DataFrame, sketches: DataFrame, least: float, large: in
                 rows, found = _chosen(sig, _mix(nodes.view(np.uint64)), least)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(items[rows])], schema=schema)
 
-    def some_values(batches):
-        for b in batches:
-            if b.num_rows:
-                nodes = b.column("node").to_numpy()
-                sig = np.frombuffer(b"".join(b.column("payload").to_pylist()), dtype="<u8").reshape(len(nodes), -1)[:, ::8]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, sig.shape[1])),
-                                                  pa.array(sig.reshape(-1).view(np.int64))], schema=schema)
-
     for _ in range(depth):
         big = members.where(F.col("size") > large).join(sketches, "item").select("node", "item", "size", "payload")
-        counted = (big.select("node", "payload").mapInArrow(some_values, "node long, item long")
-                   .groupBy("node", "item").count().groupBy("node")
-                   .agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("peers")))
+        counted = big.groupBy("node").agg(*_sign_sums()).select("node", _peers().alias("peers"))
         sizes = members.where(F.col("size") > large).select("node", "size").distinct()
         mixed = stored(spark, counted.join(sizes, "node").where(F.col("peers") < alike * F.col("size")).select("node"), "mixed")
         if mixed.isEmpty():
@@ -198,6 +189,22 @@ def split_large(members: DataFrame, sketches: DataFrame, least: float, large: in
     return done
 
 
+def _sign_sums() -> list:
+    """For each random sign, how often it is positive for the members' values (every eighth of their MinHash values)."""
+    drawn = [F.xxhash64(F.substring("payload", 64 * k + 1, 8)) for k in range(VALUES // 8)]
+    return [F.count("*").alias("members"), *(F.sum(sum((F.shiftright(h, r).bitwiseAND(F.lit(1)) for h in drawn), F.lit(0))).alias(f"s{r}")
+                                             for r in range(SIGNS))]
+
+
+def _peers():
+    """About how many members of a node share a value: the second moment of its values over their number.
+
+    The square of a sum of random signs, one for each value, has that moment as its mean.
+    """
+    held = F.col("members") * F.lit(VALUES // 8)
+    return sum(((2 * F.col(f"s{r}") - held).cast("double") * (2 * F.col(f"s{r}") - held) for r in range(SIGNS)), F.lit(0.0)) / (SIGNS * held)
+
+
 def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                min_jaccard: float = MIN_JACCARD, recall: float = RECALL) -> DataFrame:
     """``(doc_id, class_id, n_links, kept)`` for every row of ``df``.
@@ -215,7 +222,12 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                      min_jaccard: float = MIN_JACCARD, recall: float = RECALL) -> DataFrame:
-    """The rows of ``df`` that ``near_texts`` keeps, with all their columns; repeated rows count once."""
+    """The rows of ``df`` that ``near_texts`` keeps, with all their columns.
+
+    Of rows that share id and text one stays, whichever Spark reads first. Null
+    texts and texts without words all stay but for such repeats; an empty table
+    gives an empty table; other columns, whatever their names, stay as they are.
+    """
     gone = stored(df.sparkSession, _labelled(df, id_col, text_col, words, min_jaccard, recall)
                   .groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "judged")
     key, hash_col = free_name(df, "lost_id"), free_name(df, "lost_hash")
@@ -244,7 +256,8 @@ def _labelled(df, id_col, text_col, words, min_jaccard, recall):
                     for k, s in enumerate(shingler.sets(texts[lo:hi]), lo):
                         yield (next(ids), keys[k], hashes[k], None if s is None else xxhash.xxh3_128_digest(s.tobytes()),
                                None if s is None else min_hashes(s, functions).astype("<u8").tobytes())
-        yield from to_batches(rows(), schema)
+        with tidied():
+            yield from to_batches(rows(), schema)
 
     rows = stored(spark, src.mapInArrow(sketch, "uid long, doc_id long, text_hash long, set_hash binary, payload binary"),
                   "sketches")
@@ -272,7 +285,8 @@ def _labelled(df, id_col, text_col, words, min_jaccard, recall):
                     for k, s in enumerate(shingler.sets(texts[lo:hi]), lo):
                         if s is not None:
                             yield items[k], counts[k], s.astype("<u8").tobytes()
-        yield from to_batches(out(), found)
+        with tidied():
+            yield from to_batches(out(), found)
 
     texts = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")))
     sets = stored(spark, texts.select("item", "n", "text").mapInArrow(shingle, "item long, n long, payload binary")

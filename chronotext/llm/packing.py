@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_path, load_bpe
-from .common import row_ids, ship_package, slices, stored, to_batches
+from .common import row_ids, ship_package, slices, stored, tidied, to_batches
 
 CAPACITY = 2048
 END_ID = 1
@@ -51,7 +51,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
                  end_id: int = END_ID, path: str | None = None, seed: int = 0) -> DataFrame:
-    """Each document's ids with ``end_id`` appended, cut at multiples of ``capacity``; one row per piece."""
+    """Each document's ids with ``end_id`` appended, cut at multiples of ``capacity``; one row per piece.
+
+    A null or empty text is one piece; repeated rows, null ids and other columns
+    change nothing; an empty table gives no piece.
+    """
     ship_package(df.sparkSession)
     path = path or default_path()
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -71,7 +75,8 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             piece = ids[start:start + capacity]
                             draw = xxhash.xxh64_intdigest(next(numbers).to_bytes(8, "little"), seed=seed) >> 1
                             yield key, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), draw
-        yield from to_batches(rows(), schema)
+        with tidied():
+            yield from to_batches(rows(), schema)
 
     return src.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, draw long")
 
@@ -87,7 +92,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     ship_package(spark)
     groups = max(1, -(-pieces.count() // group_pieces))
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "doc_id", "start"], kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
         return pdf.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets).drop(columns=["draw", "grp"])

@@ -10,17 +10,17 @@ label softly in training, while every window of a clean text is clean.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 from dataclasses import dataclass, fields
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship_package, slices, to_batches
+from .common import bounded_sample, ship_package, slices, tidied, to_batches, worker_model
 
 THRESHOLD = 0.3
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -267,15 +267,14 @@ class Network:
         return buf.getvalue()
 
 
-@lru_cache(maxsize=2)
 def load_scorer(model: bytes) -> Scorer:
-    return Scorer(model)
+    return worker_model(("toxicity", hashlib.sha256(model).digest()), lambda: Scorer(model))
 
 
 class Scorer:
     """Scores whole texts; a distinct word's projected input is made once and kept."""
 
-    def __init__(self, model: bytes, cache_words: int = 250_000):
+    def __init__(self, model: bytes, cache_words: int = 100_000):
         z = np.load(io.BytesIO(model))
         p = Params(**{f.name: type(f.default)(x) for f, x in zip(fields(Params), z["params"], strict=True)})
         self.net = Network(p, [])
@@ -391,22 +390,29 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
                     got = scorer.scores(texts[lo:hi]).tolist()
                     yield from zip(b.column("doc_id").to_pylist()[lo:hi], b.column("held_out").to_pylist()[lo:hi],
                                    got, [int(s >= threshold) for s in got], strict=True)
-        yield from to_batches(rows(), schema)
+        with tidied():
+            yield from to_batches(rows(), schema)
 
     return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: bytes, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns.
+
+    Null and empty texts score as one empty window; rows that repeat score
+    alike; null ids and other columns, whatever their names, stay as they are;
+    an empty table gives an empty table. Map-only.
+    """
     ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = load_scorer(held.value)
-        for b in batches:
-            texts = b.column(text_col).to_pylist()
-            keep = [s < threshold for lo, hi in slices(texts, 1_000_000) for s in scorer.scores(texts[lo:hi]).tolist()]
-            yield b.filter(pa.array(keep, type=pa.bool_()))
+        with tidied():
+            for b in batches:
+                texts = b.column(text_col).to_pylist()
+                keep = [s < threshold for lo, hi in slices(texts, 1_000_000) for s in scorer.scores(texts[lo:hi]).tolist()]
+                yield b.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
