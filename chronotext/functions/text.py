@@ -17,6 +17,8 @@ TAG_PAIR = r"(?d)<[\p{L}\p{N}_]>(.*?)</[\p{L}\p{N}_]>"
 TAG_PAIR_RE2 = r"<[\p{L}\p{N}_]>(.*?)</[\p{L}\p{N}_]>"
 # Python str.strip() whitespace at both ends (identical in Java and RE2).
 EDGE_SPACE = r"^[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+|[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+\z"
+# Any other character: a text without one is blank.
+NOT_SPACE = r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 # ASCII whitespace used by the token and sentence rules.
 WS = r"[ \t\n\x{0B}\f\r]"
 # A token is a run of letters/marks/digits or one other non-space char.
@@ -41,6 +43,11 @@ def strip_space(col) -> Column:
     return F.regexp_replace(_c(col), EDGE_SPACE, "")
 
 
+def not_blank(col) -> Column:
+    """Something is left when the text is stripped; found at its first character that isn't space."""
+    return _c(col).rlike(NOT_SPACE)
+
+
 def clean_text(col) -> Column:
     """Reference cleaning: lower, unwrap one-letter tags (one lazy pass),
     drop NUL characters, strip."""

@@ -118,9 +118,13 @@ class WordLengths:
     def fit(self, docs: DataFrame, carry=()) -> "WordLengths":
         return self
 
+    prefix = "word_length"
+
+    def values(self, docs: DataFrame) -> DataFrame:
+        return histogram.lengths(docs, tx.tokens(F.col("text")))
+
     def transform(self, docs: DataFrame, carry=()) -> DataFrame:
-        vals = histogram.lengths(docs, tx.tokens(F.col("text")))
-        out = histogram.ecdf(vals, docs, self.upto, "word_length", self.mode, self.fset)
+        out = histogram.ecdf(self.values(docs), docs, self.upto, self.prefix, self.mode, self.fset)
         return _carry(out.select(*FEATURE_COLS), docs, carry)
 
     fit_transform = transform
@@ -138,15 +142,18 @@ class SentenceLengths:
     def fit(self, docs: DataFrame, carry=()) -> "SentenceLengths":
         return self
 
-    def transform(self, docs: DataFrame, carry=()) -> DataFrame:
+    @property
+    def prefix(self) -> str:
+        return "word_length" if self.mode == "reference" else "sentence_length"
+
+    def values(self, docs: DataFrame) -> DataFrame:
         if self.mode == "reference":
-            vals = histogram.lengths(docs, tx.tokens(F.col("text")))
-            prefix = "word_length"
-        else:
-            sizes = F.transform(tx.sentences(F.col("text")), lambda s: F.size(tx.tokens(s)))
-            vals = docs.select("doc_id", F.explode(sizes).alias("v"))
-            prefix = "sentence_length"
-        out = histogram.ecdf(vals, docs, self.upto, prefix, self.mode, self.fset)
+            return histogram.lengths(docs, tx.tokens(F.col("text")))
+        sizes = F.transform(tx.sentences(F.col("text")), lambda s: F.size(tx.tokens(s)))
+        return docs.select("doc_id", F.explode(sizes).alias("v"))
+
+    def transform(self, docs: DataFrame, carry=()) -> DataFrame:
+        out = histogram.ecdf(self.values(docs), docs, self.upto, self.prefix, self.mode, self.fset)
         return _carry(out.select(*FEATURE_COLS), docs, carry)
 
     fit_transform = transform

@@ -59,6 +59,30 @@ def ecdf(values: DataFrame, doc_ids: DataFrame, upto: int, prefix: str,
                       F.col("e.bin").cast("int").alias("bin"), F.col("e.value").alias("value"))
 
 
+def steps(values: DataFrame, upto: int) -> DataFrame:
+    """``values(doc_id, v)`` -> ``(doc_id, bin, step)``: by how much the cumulative curve rises at each bin.
+
+    A curve is the running sum of its steps over bins 1..upto-2, so a document
+    has as many rows as it has different lengths.  Documents without an
+    in-range value have none (a curve of zeros)."""
+    nb = upto - 2
+    counts = (values.where((F.col("v") >= 1) & (F.col("v") <= upto - 1))
+              .groupBy("doc_id", F.least(F.col("v"), F.lit(nb)).cast("int").alias("bin"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    total = F.sum("n").over(Window.partitionBy("doc_id"))
+    return counts.select("doc_id", "bin", (F.col("n") / total).alias("step"))
+
+
+def normalize_steps(curves: DataFrame, upto: int, step: str = "step") -> DataFrame:
+    """Steps divided by the L2 norm of their document's curve over all its bins."""
+    w = Window.partitionBy("doc_id").orderBy("bin")
+    height = F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    width = F.coalesce(F.lead("bin").over(w), F.lit(upto - 1)) - F.col("bin")
+    squared = curves.withColumn("_part", height * height * width)
+    norm = F.sqrt(F.sum("_part").over(Window.partitionBy("doc_id")))
+    return squared.withColumn(step, F.when(norm > 0, F.col(step) / norm).otherwise(F.lit(0.0))).drop("_part")
+
+
 def lengths(docs: DataFrame, items: Column) -> DataFrame:
     """``(doc_id, v)``: the code-point length of every item of an array."""
     return docs.select("doc_id", F.explode(F.transform(items, lambda t: F.length(t))).alias("v"))

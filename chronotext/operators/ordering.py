@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.session import ensure_checkpoint_dir
+from chronotext.session import ensure_checkpoint_dir, stored
 
 _MASK = (1 << 33) - 1
 
@@ -49,13 +49,43 @@ def running_index(df: DataFrame, group_cols: list[str], order_cols: list,
 
 
 def exact_median(df: DataFrame, group_cols: list[str], value_col: str,
-                 name: str = "median") -> DataFrame:
-    """Exact median per group (mean of the two middle values for even n)."""
-    # the tie-breaker lets equal values spread over sort partitions
-    tied = df.select(*group_cols, value_col, F.xxhash64(F.monotonically_increasing_id()).alias("_m_tie"))
-    ranked = running_index(tied, group_cols, [value_col, "_m_tie"], name="_m_rank").drop("_m_tie")
-    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_m_n"))
-    mid = ranked.join(counts, on=group_cols).where(
-        (F.col("_m_rank") == F.floor((F.col("_m_n") - 1) / 2)) |
-        (F.col("_m_rank") == F.floor(F.col("_m_n") / 2)))
-    return mid.groupBy(*group_cols).agg(F.avg(value_col).alias(name))
+                 name: str = "median", bins: int = 1024) -> DataFrame:
+    """Exact median per group (mean of the two middle values for even n).
+
+    Counted, not sorted: each round counts the values of every group in
+    ``bins`` parts of the range that holds its middle, and narrows it to one of
+    them, until that range is one value.  Null, NaN and infinite values don't
+    count; a group without values has none."""
+    values = stored(df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.abs("_v") < float("inf")), "median-values")
+    state = values.groupBy(*group_cols).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # _rank: place of the lower middle value among those from _lo on
+    state = stored(state.withColumn("_rank", F.floor((F.col("_n") - 1) / 2)), "median-ranges")
+    found = state.where("_lo = _hi")
+    state = state.where("_lo < _hi")
+    while not state.isEmpty():
+        r = state.withColumnsRenamed({c: "g_" + c for c in group_cols})
+        on = F.lit(True)
+        for c in group_cols:
+            on = on & values[c].eqNullSafe(r["g_" + c])
+        near = values.join(r, on & F.col("_v").between(F.col("_lo"), F.col("_hi"))).drop(*("g_" + c for c in group_cols))
+        # the least and the greatest value are never in one part, so every round narrows the range
+        wide = F.col("_hi") / 2 - F.col("_lo") / 2
+        share = F.when(wide < 1e307, (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise((F.col("_v") / 2 - F.col("_lo") / 2) / wide)
+        part = F.least(F.floor(share * bins), F.lit(bins - 1))
+        counts = near.groupBy(*group_cols, "_n", "_rank", part.alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_c").over(Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))  # bins rows
+        counts = counts.withColumn("_upto", upto).where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
+        state = stored(counts.select(*group_cols, "_n", "_lo", "_hi", (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank")), "median-ranges")
+        found = found.unionByName(state.where("_lo = _hi"))
+        state = state.where("_lo < _hi")
+    found = stored(found.select(*group_cols, "_n", F.col("_lo").alias("_m")), "median-lower")
+    # the upper middle value: the same one if enough values are no greater, else the next
+    r = found.withColumnsRenamed({c: "g_" + c for c in group_cols})
+    on = F.lit(True)
+    for c in group_cols:
+        on = on & values[c].eqNullSafe(r["g_" + c])
+    both = (values.join(r, on).groupBy(*group_cols, "_n", "_m")
+            .agg(F.sum((F.col("_v") <= F.col("_m")).cast("long")).alias("_c"), F.min(F.when(F.col("_v") > F.col("_m"), F.col("_v"))).alias("_next")))
+    upper = F.when(F.col("_c") > F.floor(F.col("_n") / 2), F.col("_m")).otherwise(F.col("_next"))
+    return both.select(*group_cols, ((F.col("_m") + upper) / 2).alias(name))

@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.operators.ordering import running_index
+from chronotext.session import stored
 
 # Largest term list sent to every task (selected terms, column index); its
 # size is known exactly after selection.  Above it, joins are shuffled.
 BROADCAST_MAX_TERMS = 500_000
+TOP_REPORT = 1000    # so many terms are merged in one task; more are selected by threshold
+HISTOGRAM = 1024     # bins of a step towards the threshold
 
 
 def keep_terms(feats: DataFrame, terms: DataFrame, n_terms: int, on=("fset", "term")) -> DataFrame:
@@ -50,6 +53,38 @@ def chi2_scores(features: DataFrame, labelled_docs: DataFrame, label: str = "lab
     return agg.select("fset", "term", chi2.alias("chi2"))
 
 
+def curve_chi2_scores(steps: DataFrame, labelled_docs: DataFrame, upto: int, fset: str, prefix: str,
+                      label: str = "label", weight: str | None = None) -> DataFrame:
+    """``steps(doc_id, label, [weight], bin, step)`` -> ``(fset, term, bin, chi2)`` of every bin of the curves.
+
+    Class sums of a curve are the running sums over bins of the class sums of
+    its steps: a table of classes x bins, whatever the number of documents."""
+    v = F.col("step") * (F.col(weight) if weight else F.lit(1.0))
+    priors = class_priors(labelled_docs, label, weight).select(label, "p")
+    sums = steps.groupBy(label, "bin").agg(F.sum(v).alias("rise"))
+    grid = priors.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(upto - 2))))
+    upward = Window.partitionBy(label).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    risen = grid.join(sums, [label, "bin"], "left").select("bin", "p", F.sum(F.coalesce("rise", F.lit(0.0))).over(upward).alias("o"))
+    cells = risen.groupBy("bin").agg(F.sum("o").alias("ft"), F.collect_list(F.struct("o", "p")).alias("cells"))
+    part = lambda c: (c["o"] - c["p"] * F.col("ft")) * (c["o"] - c["p"] * F.col("ft")) / (c["p"] * F.col("ft"))
+    chi2 = F.when(F.col("ft") != 0, F.aggregate("cells", F.lit(0.0), lambda a, c: a + part(c))).otherwise(F.lit(float("nan")))
+    return cells.select(F.lit(fset).alias("fset"), F.concat(F.lit(prefix + "_"), F.col("bin").cast("string")).alias("term"), "bin",
+                        chi2.alias("chi2"))
+
+
+def keep_steps(steps: DataFrame, selected: DataFrame, upto: int) -> DataFrame:
+    """Steps of curves cut down to ``selected(fset, term, bin)``: each moves to the next bin that is left.
+
+    The running sum over the bins left is the curve there; steps behind the last one go."""
+    bins = steps.sparkSession.range(1, upto - 1).select(F.col("id").cast("int").alias("bin"))
+    ahead = Window.orderBy("bin").rowsBetween(0, Window.unboundedFollowing)  # one row a bin: bounded
+    to = bins.join(selected, "bin", "left").select("bin", F.first("fset", ignorenulls=True).over(ahead).alias("fset"),
+                                                   F.first("term", ignorenulls=True).over(ahead).alias("term"))
+    carry = [c for c in steps.columns if c not in ("bin", "step")]
+    return (steps.join(F.broadcast(to.where(F.col("term").isNotNull())), "bin").groupBy(*carry, "fset", "term")
+            .agg(F.sum("step").alias("value")))
+
+
 def k_for(n_features: int, k: int = 5000, k_ratio: float = 1.0) -> int:
     """Keep every feature below ``k``; otherwise ``round(n * k_ratio)``
     (round half to even)."""
@@ -61,10 +96,38 @@ def k_for(n_features: int, k: int = 5000, k_ratio: float = 1.0) -> int:
 def select_top_k(scores: DataFrame, k: int, score: str = "chi2", by: tuple = ("fset",)) -> DataFrame:
     """Top-k terms by score (NaN last); ties keep the greater term.
 
-    One path for every k: a total order and a limit, which Spark runs as a
-    bounded merge or, above its own threshold, as a global range sort."""
-    s = F.when(F.isnan(F.col(score)), F.lit(None)).otherwise(F.col(score))
-    return scores.orderBy(s.desc_nulls_last(), F.col("term").desc()).limit(k)
+    A short report is a limit.  A longer selection finds the k-th score by
+    histograms that narrow down on it, keeps what is above, and ranks only the
+    terms that tie with it: no sort of all terms, and none in one task."""
+    s = F.when(F.isnan(F.col(score)), F.lit(None)).otherwise(F.col(score).cast("double"))
+    if k <= TOP_REPORT:
+        return scores.orderBy(s.desc_nulls_last(), F.col("term").desc()).limit(k)
+    scores = stored(scores.withColumn("_s", s), "scores")  # read again and again: sums must not be made anew
+    n, low, high = scores.agg(F.count("_s"), F.min("_s"), F.max("_s")).first()  # chi2 is finite: high - low is too
+    if n <= k:  # all that have a score, and of the others the greatest terms
+        return scores.where("_s is not null").unionByName(_greatest_terms(scores.where("_s is null"), k - n)).drop("_s")
+    need = k
+    while low < high:
+        place = F.least(F.floor((F.col("_s") - F.lit(low)) / F.lit(high - low) * F.lit(HISTOGRAM)), F.lit(HISTOGRAM - 1))
+        bins = (scores.where(F.col("_s").between(low, high)).groupBy(place.alias("b"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("_s").alias("low"), F.max("_s").alias("high")).collect())  # HISTOGRAM rows at most
+        for one in sorted(bins, key=lambda r: -r["b"]):
+            if one["n"] >= need:
+                break
+            need -= one["n"]
+        low, high = one["low"], one["high"]  # narrower: the least and the greatest score are never in one bin
+        if one["n"] == need:
+            return scores.where(F.col("_s") >= low).drop("_s")
+    return scores.where(F.col("_s") > low).unionByName(_greatest_terms(scores.where(F.col("_s") == low), need)).drop("_s")
+
+
+def _greatest_terms(ties: DataFrame, n: int) -> DataFrame:
+    """The ``n`` greatest terms, by a range sort over many tasks."""
+    if n <= 0:
+        return ties.limit(0)
+    ranked = running_index(ties.withColumn("_all", F.lit(0)), ["_all"], [F.col("term").desc(), "fset"] if "fset" in ties.columns
+                           else [F.col("term").desc()], "_rank")
+    return ranked.where(F.col("_rank") < n).drop("_rank", "_all")
 
 
 @dataclass

@@ -14,6 +14,7 @@ from chronotext.config import Config
 from chronotext.functions import rules
 from chronotext.functions import text as tx
 from chronotext.operators import annotate, features, labels, segment, selection
+from chronotext.session import stored
 from chronotext.sources import corpus
 
 R = 6  # decimals kept in floating outputs
@@ -37,8 +38,8 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and labels for queries that need no text."""
-    return labels.label_encode(corpus.document_labels(spark, sf_dir), rules.LANG_LABELS, "epoch")
+    """Ids and labels for queries that need no text; stored, so that it is scanned once."""
+    return stored(labels.label_encode(corpus.document_labels(spark, sf_dir), rules.LANG_LABELS, "epoch"), "labels")
 
 
 # --- sources, cleaning, labels --------------------------------------------
@@ -289,8 +290,8 @@ def _toxic(spark, sf_dir) -> DataFrame:
 
 
 def _binary_labels(spark, sf_dir) -> DataFrame:
-    """Ids and binary labels for queries that need no text."""
-    return corpus.document_labels(spark, sf_dir).select("doc_id").join(_toxic(spark, sf_dir), "doc_id")
+    """Ids and binary labels for queries that need no text; stored, so that it is scanned once."""
+    return stored(corpus.document_labels(spark, sf_dir).select("doc_id").join(_toxic(spark, sf_dir), "doc_id"), "labels")
 
 
 def _binary_x(spark, sf_dir):
@@ -534,9 +535,8 @@ def _dev_test(spark, sf_dir):
 def q_feature_vectors(spark, sf_dir):
     """All four families fitted on the documents and fragments of folds 1-4,
     applied to fold 0, each reduced to its chi2 top-k, stacked (rows-only)."""
-    dev, test = _dev_test(spark, sf_dir)
-    fv = dating.extract_feature_vectors(dev, test)
-    return fv.dev.withColumn("split", F.lit("dev")).unionByName(fv.test.withColumn("split", F.lit("test")))
+    fv = dating.extract_feature_vectors(*_dev_test(spark, sf_dir))
+    return fv.written_out("dev").withColumn("split", F.lit("dev")).unionByName(fv.written_out("test").withColumn("split", F.lit("test")))
 
 
 def q_lr_grid_cv(spark, sf_dir):
@@ -544,11 +544,7 @@ def q_lr_grid_cv(spark, sf_dir):
     returns the mean accuracy of every grid point (rows-only)."""
     dev, test = _dev_test(spark, sf_dir)
     fv = dating.extract_feature_vectors(dev, test)
-    inner = evaluation.stratified_group_folds(dev.select("doc_id", "label"), K, "label", "doc_id", SEED)
-    inner = inner.select(F.col("doc_id").alias("parent_id"), "fold")
-    vec = (lr.assemble(fv.dev, fv.index, fv.n_features, fv.dev_rows)
-           .join(fv.dev_rows, "doc_id").join(inner, "parent_id"))
-    _, table, _ = lr.GridSearch().fit(vec, K)
+    _, table, _ = dating.grid_search(fv, dev, Config(folds=K, random_state=SEED))
     fv.release()
     return spark.createDataFrame(table, "C double, class_weight string, mean_accuracy double")
 
@@ -694,7 +690,7 @@ def q_dating_run(spark, sf_dir):
     three strengths and both class weights, on two inner folds."""
     path = scratch_path(spark, "dating-results")
     dating.run(_labelled(spark, sf_dir), Config(c_grid=(1.0, 100.0, 10000.0), folds=2), folds=2, results_path=path)
-    return results.load_results(spark, path)
+    return results.load_committed(spark, path)
 
 
 def q_function_words(spark, sf_dir):

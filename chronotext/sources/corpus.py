@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronotext.operators.ordering import running_index
-from chronotext.functions.text import clean_text, strip_space
+from chronotext.functions.text import clean_text, not_blank, strip_space
 
 RECORD_FIELDS = ["Title", "Content", "Epoch", "Language", "Area"]
 RECORD_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in RECORD_FIELDS])
@@ -57,7 +57,7 @@ def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled or kept."""
     records = records_from_documents(read_table(spark, sf_dir, "documents"))
     fields = [strip_space(F.coalesce(F.col(f), F.lit(""))).alias(f.lower()) for f in RECORD_FIELDS if f != "Content"]
-    kept = records.where(strip_space(F.coalesce("Content", F.lit(""))) != F.lit(""))
+    kept = records.where(not_blank(F.coalesce("Content", F.lit(""))))
     return kept.select("doc_id", *fields, F.replace(strip_space(F.coalesce("Title", F.lit(""))), F.lit(" "), F.lit("_")).alias("filename"))
 
 
@@ -74,7 +74,7 @@ def prepare_documents(records: DataFrame, skip_epochs: Iterable[str] = (),
     # shuffle first, then the regex work: a small file is read as one task,
     # and cleaning in the scan's partitions would run it on one core
     df = by_doc(df, partitions)
-    df = df.where(strip_space("Content") != F.lit(""))
+    df = df.where(not_blank("Content"))
     title = strip_space("Title")
     text = clean_text("Content") if clean else F.col("Content")
     out = df.select(
