@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from chronotext.operators.ordering import running_index
 from chronotext.functions.text import clean_text, not_blank, strip_space
+from chronotext.sources.split_json import read_objects
 
 RECORD_FIELDS = ["Title", "Content", "Epoch", "Language", "Area"]
 RECORD_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in RECORD_FIELDS])
@@ -93,12 +94,13 @@ def load_documents(spark: SparkSession, sf_dir: str, skip_epochs: Iterable[str]
 
 def load_corpus_json(spark: SparkSession, path: str, skip_epochs: Iterable[str] = (),
                      multiline: bool = True, partitions: int | None = None,
-                     number_lines: bool = False) -> DataFrame:
+                     number_lines: bool = False, split: bool = True) -> DataFrame:
     """Read a JSON corpus.
 
     ``multiline=True``: every file is one object ``{"Documents": [{Title,
-    Content, Epoch, Language, Area}, ...]}`` (the reference layout; a file is
-    one task, so the rows are repartitioned by ``doc_id`` after the read).
+    Content, Epoch, Language, Area}, ...]}`` (the reference layout).  A file is
+    read by byte ranges in many tasks (``split_json``); with ``split=False`` in
+    one task, which also takes objects with other keys or nested fields.
     ``multiline=False``: JSON lines; a line is either one record or one
     ``{"Documents": [...]}`` chunk (the scalable layouts).
     Records may carry a ``doc_id``; otherwise it is the position inside its
@@ -108,6 +110,9 @@ def load_corpus_json(spark: SparkSession, path: str, skip_epochs: Iterable[str]
     """
     rec = T.StructType([T.StructField("doc_id", T.LongType())] + list(RECORD_SCHEMA.fields))
     schema = T.StructType([T.StructField("Documents", T.ArrayType(rec))] + list(rec.fields))
+    if multiline and split:
+        raw = read_objects(spark, path, rec).select(F.col("file").alias("_file"), F.col("position").alias("_pos"), "d")
+        return prepare_documents(_by_file(raw), skip_epochs, partitions)
     raw = spark.read.schema(schema).option("multiLine", multiline).json(path)
     raw = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_line"),
@@ -125,14 +130,18 @@ def load_corpus_json(spark: SparkSession, path: str, skip_epochs: Iterable[str]
             own = F.coalesce(own, F.raise_error(F.lit("a JSON line has no doc_id; number_lines=True makes ids")).cast("long"))
         return prepare_documents(raw.select(own.alias("doc_id"), *[F.col(f"d.{f}").alias(f) for f in RECORD_FIELDS]),
                                  skip_epochs, partitions)
+    return prepare_documents(_by_file(raw), skip_epochs, partitions)
+
+
+def _by_file(raw: DataFrame) -> DataFrame:
+    """Records ``(_file, _pos, d)`` with their id: their own, or the place in the file and the file's number."""
     # one row per input file: a bounded table, numbered in file-name order
     file_rank = (raw.select("_file").distinct()
                  .withColumn("_file_no", F.row_number().over(Window.orderBy("_file")) - 1))
     raw = raw.join(F.broadcast(file_rank), "_file")
     position_id = (F.col("_file_no").cast("long") * F.lit(1 << 32)) + F.col("_pos")
-    records = raw.select(F.coalesce(F.col("d.doc_id"), position_id).alias("doc_id"),
-                         *[F.col(f"d.{f}").alias(f) for f in RECORD_FIELDS])
-    return prepare_documents(records, skip_epochs, partitions)
+    return raw.select(F.coalesce(F.col("d.doc_id"), position_id).alias("doc_id"),
+                      *[F.col(f"d.{f}").alias(f) for f in RECORD_FIELDS])
 
 
 def write_corpus_json(records: DataFrame, path: str, lines: bool = True,
