@@ -8,7 +8,7 @@ already hash-partitioned by ``doc_id``, so the windows add no shuffle.
 
 The default tagger is a deterministic shape class (SQL ``CASE``); a real
 language model plugs in through :func:`annotate_with`, which runs a user
-function per Arrow batch (``mapInPandas``), loading the model once per
+function per Arrow batch (``mapInPandas``) and can load its model once per
 Python worker.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions import text as tx
+from chronotext.session import ship_package
 
 TOKEN_SCHEMA = ("doc_id long, sent_no int, tok_no int, start int, end int, "
                 "text string, pos string, dep string")
@@ -57,13 +58,35 @@ def tokens_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .alias("dep"))
 
 
-def annotate_with(docs: DataFrame, tagger: Callable, text_col: str = "text") -> DataFrame:
+_LOADED: dict = {}
+
+
+def _loaded(name: str, loader: Callable):
+    """The worker's model of that name; another one takes its place."""
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = loader()
+    return _LOADED[name]
+
+
+def annotate_with(docs: DataFrame, tagger: Callable | None = None, text_col: str = "text",
+                  loader: Callable | None = None, name: str | None = None) -> DataFrame:
     """Run a user tagger per batch: ``tagger(pandas.DataFrame[doc_id, text])``
-    returns rows of :data:`TOKEN_SCHEMA`.  The model is whatever the callable
-    closes over; Spark ships it once per Python worker."""
+    returns rows of :data:`TOKEN_SCHEMA`.
+
+    A model is given by a ``loader`` that returns the tagger: each Python
+    worker calls it once and keeps what it returns under ``name`` for its next
+    tasks.  A ``tagger`` is sent with every task as it is."""
+    if (tagger is None) == (loader is None):
+        raise ValueError("give a tagger or a loader")
+    if loader is not None:
+        ship_package(docs.sparkSession)
+    name = name or f"{getattr(loader, '__module__', '')}.{getattr(loader, '__qualname__', repr(loader))}"
+
     def run(batches):
+        tag = tagger if loader is None else _loaded(name, loader)
         for pdf in batches:
-            yield tagger(pdf)
+            yield tag(pdf)
     return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(run, TOKEN_SCHEMA)
 
 

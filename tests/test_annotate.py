@@ -33,3 +33,24 @@ def test_default_tokens_and_sentence_attach(spark):
     j = annotate.attach_by_sentence(seg, toks)
     per = {(r.kind, r.seg_no): r.n for r in j.groupBy("kind", "seg_no").agg(F.count("*").alias("n")).collect()}
     assert per[("full", 0)] == len(rows) and sum(v for (k, _), v in per.items() if k == "fragment") == len(rows)
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+        with open(log, "a") as f:  # local test: all workers share this machine
+            f.write(f"{os.getpid()}\n")
+
+        def tag(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = [(d, 0, 0, 0, len(t), t, "X", f"pid{os.getpid()}") for d, t in zip(pdf["doc_id"], pdf["text"])]
+            return pd.DataFrame(rows, columns=["doc_id", "sent_no", "tok_no", "start", "end", "text", "pos", "dep"])
+        return tag
+
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("word").alias("text")).repartition(24)
+    for _ in range(2):
+        got = annotate.annotate_with(docs, loader=load, name=f"model {log}").collect()
+        assert len(got) == 64
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads)) < 48 and {f"pid{p}" for p in loads} >= {r.dep for r in got}
