@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices, tidied, to_batches, worker_model
+from .common import ship_package, text_slices, tidied, to_batches, worker_model
 
 # Fixed values of the public vocabulary's format: its white space and its word pattern.
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -244,9 +244,9 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def rows():
             for b in batches:
-                keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-                for lo, hi in slices(texts):
-                    for key, ids in zip(keys[lo:hi], bpe.encode_batch(texts[lo:hi]), strict=True):
+                keys = b.column("doc_id").to_pylist()
+                for lo, hi, texts in text_slices(b, "text"):
+                    for key, ids in zip(keys[lo:hi], bpe.encode_batch(texts), strict=True):
                         yield (key, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
                                hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest(),
                                *((ids.tolist(),) if with_ids else ()))

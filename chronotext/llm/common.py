@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,13 +128,20 @@ def to_batches(rows: Iterable[tuple], schema: pa.Schema, max_rows: int = 4096,
         yield flush()
 
 
-def slices(texts: list, max_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``texts`` with about ``max_chars`` characters each (whole texts)."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= max_chars:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of items whose sizes add up to about ``most`` (whole items)."""
+    lo, size, n = 0, 0, 0
+    for n, own in enumerate(sizes, 1):
+        size += own
+        if size >= most:
+            yield lo, n
+            lo, size = n, 0
+    if lo < n:
+        yield lo, n
+
+
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[tuple[int, int, list]]:
+    """``(lo, hi, texts)`` of a batch, about ``max_bytes`` of text at a time: no more of it is held as Python strings."""
+    col = batch.column(column)
+    for lo, hi in slices(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).tolist(), max_bytes):
+        yield lo, hi, col.slice(lo, hi - lo).to_pylist()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bucket_join import components, distinct_nodes, links, node_sizes, prune
-from .common import free_name, row_ids, ship_package, slices, stored, tidied, to_batches
+from .common import free_name, row_ids, ship_package, stored, text_slices, tidied, to_batches
 
 WORDS = 5
 MIN_JACCARD = 0.8
@@ -251,9 +251,9 @@ def _labelled(df, id_col, text_col, words, min_jaccard, recall):
 
         def rows():
             for b in batches:
-                keys, hashes, texts = (b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))
-                for lo, hi in slices(texts):
-                    for k, s in enumerate(shingler.sets(texts[lo:hi]), lo):
+                keys, hashes = (b.column(c).to_pylist() for c in ("doc_id", "text_hash"))
+                for lo, _, texts in text_slices(b, "text"):
+                    for k, s in enumerate(shingler.sets(texts), lo):
                         yield (next(ids), keys[k], hashes[k], None if s is None else xxhash.xxh3_128_digest(s.tobytes()),
                                None if s is None else min_hashes(s, functions).astype("<u8").tobytes())
         with tidied():
@@ -280,9 +280,9 @@ def _labelled(df, id_col, text_col, words, min_jaccard, recall):
 
         def out():
             for b in batches:
-                items, counts, texts = (b.column(c).to_pylist() for c in ("item", "n", "text"))
-                for lo, hi in slices(texts):
-                    for k, s in enumerate(shingler.sets(texts[lo:hi]), lo):
+                items, counts = (b.column(c).to_pylist() for c in ("item", "n"))
+                for lo, _, texts in text_slices(b, "text"):
+                    for k, s in enumerate(shingler.sets(texts), lo):
                         if s is not None:
                             yield items[k], counts[k], s.astype("<u8").tobytes()
         with tidied():

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_path, load_bpe
-from .common import row_ids, ship_package, slices, stored, tidied, to_batches
+from .common import row_ids, ship_package, stored, text_slices, tidied, to_batches
 
 CAPACITY = 2048
 END_ID = 1
@@ -67,9 +67,9 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def rows():
             for b in batches:
-                keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-                for lo, hi in slices(texts):
-                    for key, ids in zip(keys[lo:hi], bpe.encode_batch(texts[lo:hi]), strict=True):
+                keys = b.column("doc_id").to_pylist()
+                for lo, hi, texts in text_slices(b, "text"):
+                    for key, ids in zip(keys[lo:hi], bpe.encode_batch(texts), strict=True):
                         ids = np.append(ids, end_id).astype("<u4")
                         for start in range(0, len(ids), capacity):
                             piece = ids[start:start + capacity]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship_package, slices, tidied, to_batches, worker_model
+from .common import bounded_sample, ship_package, text_slices, tidied, to_batches, worker_model
 
 THRESHOLD = 0.3
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -385,9 +385,8 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
 
         def rows():
             for b in batches:
-                texts = b.column("text").to_pylist()
-                for lo, hi in slices(texts, 1_000_000):
-                    got = scorer.scores(texts[lo:hi]).tolist()
+                for lo, hi, texts in text_slices(b, "text", 1_000_000):
+                    got = scorer.scores(texts).tolist()
                     yield from zip(b.column("doc_id").to_pylist()[lo:hi], b.column("held_out").to_pylist()[lo:hi],
                                    got, [int(s >= threshold) for s in got], strict=True)
         with tidied():
@@ -410,8 +409,7 @@ def keep_clean(docs: DataFrame, model: bytes, text_col: str = "text", threshold:
         scorer = load_scorer(held.value)
         with tidied():
             for b in batches:
-                texts = b.column(text_col).to_pylist()
-                keep = [s < threshold for lo, hi in slices(texts, 1_000_000) for s in scorer.scores(texts[lo:hi]).tolist()]
+                keep = [s < threshold for _, _, texts in text_slices(b, text_col, 1_000_000) for s in scorer.scores(texts).tolist()]
                 yield b.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
