@@ -3,8 +3,8 @@
 A string of ``LENGTH`` bytes holds an anchor: the leftmost of its least hashed
 ``GRAM``-byte pieces. Equal strings have equal anchors at equal places, so the
 corpus is dealt out by anchor, and what is dealt are stretches of neighbouring
-strings with the same anchor, as numbers. Stretches that are equal throughout
-are settled by counting; those that share an anchor and differ are fetched and
+strings with the same anchor, as numbers. Stretches that are equal throughout,
+by a cryptographic digest, are settled by counting; those that share an anchor and differ are fetched and
 their suffixes sorted by mergesort, two suffixes being compared by binary
 search for their common extension over prefix polynomial hashes. Neighbours in
 that order that agree in ``LENGTH`` bytes are verified byte by byte.
@@ -13,6 +13,7 @@ that order that agree in ``LENGTH`` bytes are verified byte by byte.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, stored, to_batches
+from .common import ship_package, stored, tidied, to_batches
 
 LENGTH = 200
 GRAM = 32
 GROUP = 512  # different stretches of one anchor that are sorted together; more are divided first
+BATCH_BYTES = 1 << 20
+STRETCH_BYTES = 1 << 26  # longer texts are dealt in overlapping parts of so many bytes; positions in a batch have 28 bits
 CELLS = (16, 1)  # strings of a stretch that stay together in the first and the second division
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -64,7 +67,7 @@ class PrefixHashes:
 
 
 def stretches(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """``(text number, start, strings, lead, anchor hash, whole hash)`` of all stretches of a batch.
+    """``(text number, start, strings, lead, anchor hash)`` of all stretches of a batch.
 
     ``strings`` strings begin at start, start + 1, ...; the anchor lies ``lead`` bytes after start.
     """
@@ -73,7 +76,7 @@ def stretches(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     ends = np.cumsum(lens)
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     hashes = PrefixHashes(data)
     grams = len(data) - gram + 1
     h = _mix((hashes.sums[gram:] - hashes.sums[:grams]) * hashes.up[:grams])
@@ -90,13 +93,24 @@ def stretches(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(ends - lens, counts)
     anchor = (least[start] & low).astype(np.int64)
     if not len(start):
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
     strings = np.diff(np.append(first, len(start)))
     begin, lead = start[first], anchor[first] - start[first]
-    whole = _mix(hashes.piece(begin, strings - 1 + length) + _mix((strings * 512 + lead).astype(np.uint64)))
-    return (owner[first], begin - (ends - lens)[owner[first]], strings, lead,
-            h[anchor[first]].view(np.int64), whole.view(np.int64))
+    return owner[first], begin - (ends - lens)[owner[first]], strings, lead, h[anchor[first]].view(np.int64)
+
+
+def dealt_stretches(body: bytes, length: int = LENGTH, most: int | None = None):
+    """Stretches of one text of any length, part by part; parts overlap so that each string is in one."""
+    most = most or STRETCH_BYTES
+    for lo in range(0, max(1, len(body) - length + 1), most):
+        _, start, strings, lead, anchor = stretches([body[lo:lo + most + length - 1]], length)
+        yield start + lo, strings, lead, anchor
+
+
+def digest(body: bytes, start: int, strings: int, lead: int, length: int = LENGTH) -> bytes:
+    """Names a stretch by its bytes and its anchor's place; cryptographic, so that equal names are equal stretches."""
+    return hashlib.blake2b(body[start:start + strings - 1 + length], digest_size=16, salt=struct.pack("<QQ", strings, lead)).digest()
 
 
 def repeated_strings(parts: list[bytes], strings: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -235,28 +249,43 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def repeated_spans(src: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``(doc_id, text_hash, spans)``: array of ``(start, stop)`` byte ranges that occur more than once."""
     spark = src.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("strings", pa.int16()),
-                        ("lead", pa.int16()), ("anchor", pa.int64()), ("whole", pa.int64())])
-
-    def deal(batches):
-        for b in batches:
-            texts = b.column("body").to_pylist()
-            at, size = 0, 0
-            for k, t in enumerate(texts):
-                size += len(t)
-                if size >= 1 << 20 or k == len(texts) - 1:
-                    own, start, strings, lead, anchor, whole = stretches(texts[at:k + 1], length)
-                    who = pa.array(own + at)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(who), b.column("text_hash").take(who), pa.array(start, pa.int32()),
-                         pa.array(strings, pa.int16()), pa.array(lead, pa.int16()), pa.array(anchor), pa.array(whole)],
-                        schema=schema)
-                    at, size = k + 1, 0
-
-    dealt = src.mapInArrow(deal, "doc_id long, text_hash long, start int, strings short, lead short, anchor long, whole long")
+    fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("strings", pa.int16()),
+              ("lead", pa.int16()), ("anchor", pa.int64()), ("whole", pa.binary())]
+
+    def deal(named: bool):
+        """All stretches, ``named`` by digest or with their anchors alone."""
+        schema = pa.schema(fields if named else [("anchor", pa.int64())])
+
+        def batch(b, texts, own, start, strings, lead, anchor):
+            if not named:
+                return pa.RecordBatch.from_arrays([pa.array(anchor)], schema=schema)
+            who = pa.array(own)
+            whole = [digest(texts[t], s, n, k, length) for t, s, n, k in zip(own.tolist(), start.tolist(), strings.tolist(), lead.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(who), b.column("text_hash").take(who), pa.array(start, pa.int32()), pa.array(strings, pa.int16()),
+                 pa.array(lead, pa.int16()), pa.array(anchor), pa.array(whole, pa.binary())], schema=schema)
+
+        def run(batches):
+            with tidied():
+                for b in batches:
+                    texts = b.column("body").to_pylist()
+                    at, size = 0, 0
+                    for k, t in enumerate(texts):
+                        if len(t) >= STRETCH_BYTES:
+                            for start, strings, lead, anchor in dealt_stretches(t, length):
+                                yield batch(b, texts, np.full(len(start), k), start, strings, lead, anchor)
+                            texts[k] = b""
+                        size += len(texts[k])
+                        if size >= BATCH_BYTES or k == len(texts) - 1:
+                            own, *rest = stretches(texts[at:k + 1], length)
+                            yield batch(b, texts, own + at, *rest)
+                            at, size = k + 1, 0
+
+        return src.mapInArrow(run, "doc_id long, text_hash long, start int, strings short, lead short, anchor long, whole binary" if named else "anchor long")
+
     # stored, as are the ranges below: a join of two plain shuffles is one whose hot keys Spark can split
-    repeated = stored(spark, dealt.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    hits = stored(spark, dealt.join(repeated, "anchor"), "stretches")
+    repeated = stored(spark, deal(False).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    hits = stored(spark, deal(True).join(repeated, "anchor"), "stretches")
     kinds = hits.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct(
         "doc_id", "text_hash", "start", "strings", "lead")).alias("one"))
     kinds = stored(spark, kinds, "kinds")
@@ -265,9 +294,9 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, group: int = GROUP) ->
               .select(F.col("one.doc_id").alias("k"), F.col("one.text_hash").alias("h"),
                       F.struct("anchor", "whole", "one.start", "one.strings", "one.lead").alias("want"))
               .groupBy("k", "h").agg(F.collect_list("want").alias("wants")))
-    piece = pa.schema([("cell", pa.int64()), ("anchor", pa.int64()), ("whole", pa.int64()), ("first", pa.int32()),
+    piece = pa.schema([("cell", pa.int64()), ("anchor", pa.int64()), ("whole", pa.binary()), ("first", pa.int32()),
                        ("strings", pa.int32()), ("lead", pa.int32()), ("part", pa.binary())])
-    ddl = "cell long, anchor long, whole long, first int, strings int, lead int, part binary"
+    ddl = "cell long, anchor long, whole binary, first int, strings int, lead int, part binary"
 
     def fetch(batches):
         def rows():
@@ -292,14 +321,13 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, group: int = GROUP) ->
             break
         cells = stored(spark, parts.join(crowded, "cell", "left_semi")
                        .mapInArrow(_divider(width, length, piece), ddl), "cells")
-        same = (cells.groupBy("cell", F.xxhash64("strings", "lead", "part").alias("body"))
-                .agg(F.count("*").alias("n"), F.min(F.struct("anchor", "whole", "first", "strings", "lead", "part")).alias("one")))
+        content = ("cell", "strings", "lead", "part")  # the bytes themselves
+        same = cells.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("anchor", "whole", "first")).alias("one"))
         same = stored(spark, same, "equal_cells")
-        alike = same.where("n > 1").select("cell", "body")
-        settled.append(cells.withColumn("body", F.xxhash64("strings", "lead", "part")).join(alike, ["cell", "body"])
+        settled.append(cells.join(same.where("n > 1").select(*content), list(content))
                        .select("anchor", "whole", F.col("first").alias("lo"), (F.col("first") + F.col("strings")).alias("hi")))
         mixed = same.groupBy("cell").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell")
-        parts = stored(spark, same.join(mixed, "cell").select("cell", "one.*"), "parts")
+        parts = stored(spark, same.join(mixed, "cell").select("cell", "one.anchor", "one.whole", "one.first", "strings", "lead", "part"), "parts")
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
@@ -335,7 +363,7 @@ def _divider(width: int, length: int, piece: pa.Schema):
 
 def _sorted_cells(parts: DataFrame, length: int) -> DataFrame:
     """``(anchor, whole, lo, hi)``: ranges of repeated strings, by one suffix sort over many cells at a time."""
-    schema = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("whole", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def sort(batches):
         def rows():
@@ -367,4 +395,4 @@ def _sorted_cells(parts: DataFrame, length: int) -> DataFrame:
         yield from to_batches(rows(), schema)
 
     return (parts.select("cell", "anchor", "whole", "first", "strings", "part").repartition("cell")
-            .sortWithinPartitions("cell").mapInArrow(sort, "anchor long, whole long, lo int, hi int"))
+            .sortWithinPartitions("cell").mapInArrow(sort, "anchor long, whole binary, lo int, hi int"))
