@@ -14,18 +14,20 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_index
 from .common import ship_package, stored, to_batches
 
 REFERENCE = "$result"  # {"$result": "call id"} in arguments stands for another call's result
 BLOCK = 250_000  # references whose calls a task settles together
+_SURROGATE = re.compile("[\ud800-\udfff]")
 CALL_FIELDS = ("conv_id", "turn", "role", "text", "call_id", "name", "arguments")
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys and no spaces; whole floats as integers, NaN and infinities refused."""
+    """JSON with sorted keys and no spaces; whole floats as integers, lone surrogates escaped, NaN and infinities refused."""
     def plain(v):
         if isinstance(v, dict):
             return {str(k): plain(x) for k, x in v.items()}
@@ -34,7 +36,12 @@ def canonical(value) -> str:
         if isinstance(v, float) and math.isfinite(v) and v == int(v) and abs(v) < 2 ** 53:
             return int(v)
         return v
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _escaped(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _escaped(text: str) -> str:
+    """Halves of surrogate pairs that stand alone, legal in JSON but in no encoding, as escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
 
 
 def references(value) -> list[str]:
@@ -111,7 +118,8 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     to and a result its call, if need be in a later turn's place; in one place
     plain messages come first, then calls by depth, each before its results.
     ``message`` is canonical JSON with the call's arguments as an object, or the
-    text as a string. Null texts are empty; null conversations and turns are
+    text as a string, a surrogate that stands alone in arguments as its escape.
+    Null texts are empty; null conversations and turns are
     values like any other; a null identifier links with nothing; repeated rows
     keep their rows; other columns are not read; an empty table gives an empty
     table. A conversation is never collected: links are joins, and the order is
@@ -138,9 +146,11 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
                                              names=[*b.schema.names, *checked.names])
 
     calls = calls.mapInArrow(check, ddl)
-    same = Window.partitionBy("conv_id", "call_id").orderBy("turn", "row")
-    first = F.when(F.col("call_id").isNotNull(), F.row_number().over(same)).otherwise(1)
-    calls = stored(spark, calls.withColumn("nth", first)
+    calls = stored(spark, calls, "checked_calls")
+    first = (calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "row")).alias("least"))
+             .select(F.col("least.row").alias("row"), F.lit(1).alias("nth")))
+    nth = F.when(F.col("call_id").isNull(), 1).otherwise(F.coalesce("nth", F.lit(2)))
+    calls = stored(spark, calls.join(first, "row", "left").withColumn("nth", nth)
                    .withColumn("status", F.when((F.col("nth") > 1) & (F.col("status") == "ok"), F.lit("repeated_id"))
                                .otherwise(F.col("status"))), "calls")
     named = calls.where("nth = 1 and call_id is not null").select("conv_id", F.col("call_id"), F.col("row").alias("call_row"))
@@ -148,8 +158,11 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     results = keyed.where("not is_call and role = 'tool'")
     here = named.withColumnRenamed("conv_id", "c").withColumnRenamed("call_id", "i")
     linked = results.join(here, results.conv_id.eqNullSafe(here.c) & (results.call_id == here.i), "left").drop("c", "i")
-    linked = stored(spark, linked.withColumn("nth", F.when(F.col("call_row").isNotNull(), F.row_number().over(
-        Window.partitionBy("call_row", F.when(F.col("call_row").isNull(), F.col("row"))).orderBy("turn", "row")))), "results")
+    linked = stored(spark, linked, "linked_results")
+    first = (linked.where("call_row is not null").groupBy("call_row").agg(F.min(F.struct("turn", "row")).alias("least"))
+             .select(F.col("least.row").alias("row"), F.lit(1).alias("nth")))
+    linked = stored(spark, linked.join(first, "row", "left").withColumn(
+        "nth", F.when(F.col("call_row").isNotNull(), F.coalesce("nth", F.lit(2)))), "results")
     answered = linked.where("nth = 1").select(F.col("call_row").alias("row"), F.lit(True).alias("answered"))
     calls = (calls.join(depth, "row", "left").join(answered, "row", "left")
              .withColumn("status", F.when(F.col("status") != "ok", F.col("status"))
@@ -166,8 +179,12 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
                  *common, F.col("turn").alias("after"), F.lit(None).cast("int").alias("depth"), F.lit("message").alias("status"), F.lit("").alias("errors"),
                  none.alias("canonical_arguments"), F.lit(0).alias("rank"))))
     late = F.when(F.col("rank") == 0, -1).when(F.col("depth") >= 0, F.col("depth")).otherwise((1 << 31) - 1)
-    order = Window.partitionBy("conv_id").orderBy("after", late, "rank", "turn", "row")
-    placed = every.withColumn("position", F.row_number().over(order).cast("long")).drop("row", "rank", "after")
+    every = stored(spark, every.withColumn("late", late), "placed_messages")
+    # ranked by their keys alone, in a range sort that divides a long conversation
+    keys = every.select(F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0)).alias("conv"), "after", "late", "rank", "turn", "row")
+    places = (running_index(keys, ["no_conv", "conv"], ["after", "late", "rank", "turn", "row"], "place")
+              .select("row", (F.col("place") + 1).cast("long").alias("position")))
+    placed = every.join(places, "row").drop("row", "rank", "after", "late")
     out = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("call_id", pa.string()),
                      ("position", pa.int64()), ("depth", pa.int32()), ("status", pa.string()), ("errors", pa.string()),
                      ("message", pa.string())])
@@ -197,14 +214,16 @@ def _checked(name, text, tools) -> tuple:
     """Status, errors, references and canonical arguments of one call."""
     try:
         value = json.loads(text if text is not None else "{}", parse_constant=_refuse)
+        canonical([[[[value]]]])  # as deep as in the message that is written from it
         written = canonical(value)
     except (ValueError, RecursionError):
         return "bad_json", "", [], None
-    refs = references(value)
+    # no identifier of a table holds a lone surrogate: such a reference is missing
+    refs = [None if _SURROGATE.search(r) else r for r in references(value)]
     if name not in tools:
         return "unknown_tool", "", refs, written
     errors = violations(value, tools[name])
-    return ("invalid" if errors else "ok"), ",".join(errors), refs, written
+    return ("invalid" if errors else "ok"), _escaped(",".join(errors)), refs, written
 
 
 def _refuse(name):
