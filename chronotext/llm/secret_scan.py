@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, to_batches
+from .common import ship_package, tidied, to_batches
 
 # The base patterns and their least lengths, in the order of the kinds.
 ASSIGN = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -28,10 +28,12 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"(?ai:secret|token|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|"
                        r"credential|bearer|authorization|signature)")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}(?:\.[A-Za-z0-9+/_=-]{16,})*")  # with the dots between parts of a web token
 REACH = 64  # characters after a sensitive word in which a candidate begins
 CONTEXT = 256  # characters on either side that the candidate is measured against
+LEAST = 16  # characters of a candidate
 NOVELTY = 0.85  # of the mean growth that random strings of the candidate's alphabet and length make in its place
+NOVELTY_OF_LETTERS = 0.92  # the same for strings without a digit, which may be names made of words
 DRAWS = 12  # such strings
 LETTERS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_-", "=")
 MASK = "<SECRET>"
@@ -92,7 +94,8 @@ class Scanner:
         before, after = text[max(0, start - CONTEXT):start], text[end:end + CONTEXT]
         plain = body.rstrip("=")
         usual = [self.marginal_bytes(before, x + body[len(plain):], after) for x in self.random_strings(alphabet(plain), len(plain))]
-        return self.marginal_bytes(before, body, after) * len(usual) >= self.novelty * sum(usual)
+        least = self.novelty if any(c.isdigit() for c in plain) else max(self.novelty, NOVELTY_OF_LETTERS)
+        return self.marginal_bytes(before, body, after) * len(usual) >= least * sum(usual)
 
     def random_strings(self, letters: str, n: int) -> list[str]:
         """The same strings for the same alphabet and length in every task."""
@@ -105,21 +108,25 @@ class Scanner:
         return self.drawn[letters, n]
 
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Strings of several kinds of characters after a sensitive word, not inside a base span."""
-        found, seen = [], -1
-        for word in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, word.end()):
-                start, end = m.span()
-                if start > word.end() + REACH:
-                    break
-                if start < seen or any(s < end and start < e for s, e, _ in base):
-                    continue
-                seen = end
-                body = m.group()
-                if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
-                    continue
-                if self.is_novel(text, start, end):
-                    found.append((start, end, 3))
+        """Strings shortly after a sensitive word, not inside a base span, that are as costly as random ones."""
+        words = SENSITIVE.finditer(text)
+        word = next(words, None)
+        if word is None:
+            return []
+        found, last, k = [], None, 0
+        for m in CANDIDATE.finditer(text):
+            start, end = m.span()
+            while word is not None and word.end() <= start:
+                last, word = word.end(), next(words, None)
+            while word is not None and end - word.end() >= LEAST:  # in the string itself, which begins behind it then
+                last = start = word.end()
+                word = next(words, None)
+            while k < len(base) and base[k][1] <= start:
+                k += 1
+            if last is None or start - last > REACH or k < len(base) and base[k][0] < end:
+                continue
+            if self.is_novel(text, start, end):
+                found.append((start, end, 3))
         return found
 
     def scan(self, text: str | None) -> tuple[list, list]:
@@ -176,7 +183,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     kinds = [s[2] for s in spans]
                     yield (key, *(kinds.count(k) for k in range(4)),
                            hashlib.sha256(written(base).encode()).hexdigest(), written(spans))
-        yield from to_batches(rows(), schema)
+        with tidied():
+            yield from to_batches(rows(), schema)
 
     return src.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, "
                                "base_sha256 string, spans string")
@@ -186,7 +194,9 @@ def mask_secrets(df: DataFrame, text_col: str = "text", length_col: str | None =
                  novelty: float = NOVELTY) -> DataFrame:
     """``df`` with all secrets in ``text_col`` masked, and ``length_col`` set to the new length where given.
 
-    Every row stays; a text without secrets is unchanged, and null stays null.
+    Every row stays, repeated ones and null ids too; a text without secrets is
+    unchanged, and null stays null; other columns, whatever their names, stay as
+    they are; an empty table gives an empty table. Map-only.
     """
     ship_package(df.sparkSession)
 
