@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bucket_join import components, distinct_nodes, links
-from .common import bounded_sample, row_ids, ship_package, stored, to_batches
+from .common import bounded_sample, row_ids, ship_package, stored, tidied, to_batches
 
 MIN_COSINE = 0.93
 SAMPLE_ROWS = 20_000  # vectors that the rotations are fitted on
+SAMPLE_BYTES = 64 << 20  # and at most so many bytes of them
+WHOLE = 512  # vectors of a label and length that are compared without codes
 RECALL = 0.98  # measured for sampled pairs right at the least cosine; closer pairs are found more surely
 BUCKET = 32  # vectors of a label that a bucket should hold
 
@@ -118,7 +120,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     vectors of a label are compared as one and counted by their number; rows
     with the same id count as different vectors. Null ids have no component.
     There are as many tables as pairs at ``min_cosine`` made from the sample
-    need for ``recall``, also where vectors share a common direction.
+    need for ``recall``, also where vectors share a common direction; lengths
+    that no label has more than ``WHOLE`` vectors of need none, as these are all
+    compared.
     Other columns are not read; an empty table gives an empty table.
     """
     spark = df.sparkSession
@@ -141,36 +145,15 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     usable = rows.where(F.col("payload").isNotNull()).withColumn("dim", F.length("payload") / 8)
     distinct = stored(spark, usable.groupBy("label", "dim", "payload").agg(
         F.count("*").alias("n"), F.min("uid").alias("item"), F.min("vec_id").alias("low_id")), "distinct_vectors")
-    sizes = distinct.groupBy("label", "dim").count().agg(F.max("count"), F.max("dim")).first()
-    largest = sizes[0] or 0
-    bits, tables = table_plan(largest, min_cosine, recall)
-    spaces = {}
-    for dim in [int(r[0]) for r in distinct.select("dim").distinct().limit(64).collect()]:
-        sample = bounded_sample(distinct.where(F.col("dim") == dim), F.xxhash64("item", F.lit(seed)), sample_rows, "item")
-        x = np.frombuffer(b"".join(bytes(r[0]) for r in sample.select("payload").collect()), dtype="<f8").reshape(-1, dim)
-        rng = np.random.default_rng(seed)
-        spaces[dim] = fit_tables(x, bits, tables, min_cosine, recall, rng)
-    held = spark.sparkContext.broadcast(spaces)  # dim x dim numbers a rotation
-    keys = pa.schema([("item", pa.int64()), ("node", pa.int64())])
-
-    def hash_tables(batches):
-        def out():
-            powers = 1 << np.arange(bits, dtype=np.int64)
-            for b in batches:
-                items, labels, payloads = (b.column(c).to_pylist() for c in ("item", "label", "payload"))
-                for dim in {len(p) // 8 for p in payloads}:
-                    at = [k for k, p in enumerate(payloads) if len(p) == 8 * dim]
-                    x = np.frombuffer(b"".join(payloads[k] for k in at), dtype="<f8").reshape(-1, dim)
-                    rotations, n = held.value[dim]
-                    code = np.concatenate([(x - mean) @ r >= 0 for mean, r in rotations], axis=1)
-                    for t in range(n):
-                        part = code[:, t * bits:(t + 1) * bits] @ powers
-                        for k, v in zip(at, part.tolist(), strict=True):
-                            yield items[k], _node(labels[k], dim, t, v)
-        yield from to_batches(out(), keys, max_rows=65536)
-
-    members = stored(spark, distinct_nodes(distinct.select("item", "label", "payload")
-                                           .mapInArrow(hash_tables, "item long, node long")), "buckets")
+    groups = stored(spark, distinct.groupBy("label", "dim").agg(F.count("*").alias("size")), "label_sizes")
+    large = stored(spark, groups.groupBy("dim").agg(F.max("size").alias("largest")).where(F.col("largest") > WHOLE), "coded_lengths")
+    # vectors of lengths that no label has many of meet all others of their label and length
+    members = (distinct.join(large.select("dim"), "dim", "left_anti")
+               .select("item", F.xxhash64("label", "dim").alias("node")))
+    for dim, largest in large.orderBy("dim").toLocalIterator():  # lengths that more than WHOLE vectors of a label have
+        own = distinct.where(F.col("dim") == dim).select("item", "label", "payload")
+        members = members.unionByName(stored(spark, _coded(own, int(dim), largest, min_cosine, sample_rows, recall, seed), "codes"))
+    members = stored(spark, distinct_nodes(members), "buckets")
     counts, edges = links(members, distinct.select("item", "n", "payload"), _similar(min_cosine))
     labels = (distinct.join(counts, "item", "left").join(components(edges), "item", "left")
               .withColumn("component", F.coalesce("component", "item")))
@@ -183,5 +166,31 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                          F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
+def _coded(vectors: DataFrame, dim: int, largest: int, min_cosine: float, sample_rows: int, recall: float, seed: int) -> DataFrame:
+    """``(item, node)`` of vectors of one length in the hash tables fitted on a sample of them."""
+    bits, tables = table_plan(largest, min_cosine, recall)
+    sample = bounded_sample(vectors, F.xxhash64("item", F.lit(seed)), max(1, min(sample_rows, SAMPLE_BYTES // (8 * dim))), "item")
+    x = np.frombuffer(b"".join(bytes(r[0]) for r in sample.select("payload").collect()), dtype="<f8").reshape(-1, dim)
+    held = vectors.sparkSession.sparkContext.broadcast(fit_tables(x, bits, tables, min_cosine, recall, np.random.default_rng(seed)))  # dim x dim numbers a rotation
+    keys = pa.schema([("item", pa.int64()), ("node", pa.int64())])
+
+    def hash_tables(batches):
+        def out():
+            powers = 1 << np.arange(bits, dtype=np.int64)
+            rotations, n = held.value
+            for b in batches:
+                items, labels, payloads = (b.column(c).to_pylist() for c in ("item", "label", "payload"))
+                x = np.frombuffer(b"".join(payloads), dtype="<f8").reshape(-1, dim)
+                code = np.concatenate([(x - mean) @ r >= 0 for mean, r in rotations], axis=1)
+                for t in range(n):
+                    part = code[:, t * bits:(t + 1) * bits] @ powers
+                    for item, label, v in zip(items, labels, part.tolist(), strict=True):
+                        yield item, _node(label, dim, t, v)
+        with tidied():
+            yield from to_batches(out(), keys, max_rows=65536)
+
+    return vectors.mapInArrow(hash_tables, "item long, node long")
+
+
 def _node(label: int, dim: int, t: int, value: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{label},{dim},{t},{value}".encode()) - (1 << 63)
