@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-Around every licensing word, each template is laid against every window of
-words that can hold it, across sentences and line ends alike. A window is
-confirmed by the exact differences in wording, compressed by itself and with
-the template as a raw zstandard dictionary, and must save a share of what it
-or the template costs; among overlapping windows the one that saves most
-bytes stays.
+The words around every licensing word are cut into overlapping blocks of a
+few sizes, across sentences and line ends alike, so that any notice lies whole in
+a block of its size. A block is compressed by itself and with each template as a raw zstandard
+dictionary; templates that reduce it by a share of their own cost are its
+winners, ranked by the reduction. A winner is confirmed by the exact differences
+in wording between it and a window of the block, and the window alone must be
+reduced too; among overlapping windows the one that saves most bytes stays.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, to_batches
+from .common import ship_package, tidied, to_batches
 
 # Notices by which works are commonly licensed.
 TEMPLATES = {
@@ -29,21 +30,36 @@ TEMPLATES = {
             "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
             "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
             "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-            "following conditions:", "SPDX-License-Identifier: MIT"],
+            "following conditions:", "The MIT License (MIT)", "MIT License Copyright (c)"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
-                   "in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
+                   "in compliance with the License.", "Apache License Version 2.0, January 2004"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-                "or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-only"],
+                "or (at your option) any later version.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.",
-                "SPDX-License-Identifier: GPL-2.0-only"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+                "or (at your option) any later version.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.",
+                 "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                 "License, or (at your option) any later version.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1"],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                 "or (at your option) any later version.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+                 "This work is licensed under the GNU Affero General Public License, version 3."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted "
                      "provided that the following conditions are met:", "Released under the BSD 3-Clause License.",
-                     "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+                     "BSD 3-Clause License"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "BSD 2-Clause License"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+                "Mozilla Public License Version 2.0"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License Copyright (c)"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.",
                   "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
@@ -51,9 +67,16 @@ TEMPLATES = {
     "CC0-1.0": ["Released under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+# Identifiers that a source file may name its license by.
+for _names in (["MIT"], ["Apache-2.0"], ["GPL-3.0", "-only", "-or-later", ""], ["GPL-2.0", "-only", "-or-later", ""],
+               ["LGPL-3.0", "-only", "-or-later", ""], ["LGPL-2.1", "-only", "-or-later", ""], ["AGPL-3.0", "-only", "-or-later", ""],
+               ["BSD-3-Clause"], ["BSD-2-Clause"], ["MPL-2.0"], ["ISC"], ["BSL-1.0"], ["CC-BY-4.0"], ["CC-BY-SA-4.0"], ["CC-BY-NC-4.0"],
+               ["CC0-1.0"], ["Unlicense"]):
+    TEMPLATES[_names[0]] += [f"SPDX-License-Identifier: {_names[0]}{end}" for end in _names[1:] or [""]]
 _GAP = r"\s+(?:[#*/%;>|-]+\s+)*"  # between words of a notice, also over line ends with comment marks
 TRIGGER = re.compile(r"(?ai:licen[cs]|redistribut|permission is hereby|released under|public domain|spdx|"
-                     r"free software|copyright|terms of the)".replace(" ", _GAP))
+                     r"free software|copyright|terms of the|permission to use)".replace(" ", _GAP))
+LEAST_REDUCTION = 0.1  # of a template's compressed size, by which it reduces a block that is compared with it
 LEAST_SAVING = 0.35  # of the compressed size of the window or of the template, whichever is less
 MOST_DIFFERENT = 0.15  # of the template's words
 _WORD = re.compile(r"[\w.+-]*\w")
@@ -67,28 +90,25 @@ class LicenseMatcher:
         self.known = []
         for name, texts in templates.items():
             for text in texts:
-                d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.known.append((name, _WORD.findall(text.lower()), len(self.plain.compress(text.encode())),
+                d = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=opts["level"])
+                self.known.append((name, _WORD.findall(text.lower()), len(self.plain.compress(text.lower().encode())),
                                    zstandard.ZstdCompressor(dict_data=d, **opts)))
         self.reach = max(len(words) + _spare(words) for _, words, _, _ in self.known)
+        self.numbers = [_numbers(words) for _, words, _, _ in self.known]
+        self.classes: dict[int, list[int]] = {}  # half a block's words -> templates
+        for k, (_, words, _, _) in enumerate(self.known):
+            self.classes.setdefault(max(8, 1 << (len(words) + _spare(words) - 1).bit_length()), []).append(k)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, int]]:
         """``(name, start, end, saved bytes, differing words)`` of each notice."""
         found = []
         for start, end in regions(text or "", self.reach):
             spots = [m.span() for m in _WORD.finditer(text, start, end)]
-            have = [text[s:e].lower() for s, e in spots]
-            every, fits = set(have), []
-            for name, words, cost, compressor in self.known:
-                if not _numbers(words) <= every or sum(w in every for w in words) < len(words) - _spare(words):
-                    continue
-                for differ, i, j in windows(words, have):
-                    s, e = spots[i][0], _CLOSING.match(text, spots[j - 1][1]).end()
-                    raw = re.sub(_GAP, " ", text[s:e]).encode()
-                    own = len(self.plain.compress(raw))
-                    saved = own - len(compressor.compress(raw))
-                    if saved >= LEAST_SAVING * min(own, cost):
-                        fits.append((-saved, name, differ, s, e))
+            fits = set()
+            for half, numbers in self.classes.items():  # a notice of up to half a block lies whole in one
+                for lo in range(0, max(1, len(spots) - half), half):
+                    fits.update(self.block(text, spots[lo:lo + 2 * half], numbers))
             taken = []
             for saved, name, differ, s, e in sorted(fits):
                 if all(e <= s2 or e2 <= s for _, s2, e2, _, _ in taken):
@@ -96,6 +116,34 @@ class LicenseMatcher:
             found += sorted(taken, key=lambda f: f[1])
         return found
 
+    def ranked(self, block: bytes, numbers: list[int]) -> list[tuple[int, int]]:
+        """``(reduction, template number)`` of the templates that reduce the block enough, the best first."""
+        own = len(self.plain.compress(block)) if numbers else 0
+        cut = [(own - len(self.known[k][3].compress(block)), k) for k in numbers]
+        return sorted(((r, k) for r, k in cut if r >= LEAST_REDUCTION * self.known[k][2]), reverse=True)
+
+    def block(self, text: str, spots: list[tuple[int, int]], numbers: list[int]):
+        """``(-saved, name, differing words, start, end)`` of the confirmed windows of a block's winners."""
+        if not spots:
+            return
+        have = [text[s:e].lower() for s, e in spots]
+        every = set(have)
+        # versions and variants may not differ, so a template whose numbers the block lacks can't be confirmed
+        for _, k in self.ranked(_raw(text, spots[0][0], spots[-1][1]), [k for k in numbers if self.numbers[k] <= every]):
+            name, words, cost, compressor = self.known[k]
+            for differ, i, j in windows(words, have):
+                s, e = spots[i][0], _CLOSING.match(text, spots[j - 1][1]).end()
+                raw = _raw(text, s, e)
+                own = len(self.plain.compress(raw))
+                saved = own - len(compressor.compress(raw))
+                if saved >= LEAST_SAVING * min(own, cost):
+                    yield -saved, name, differ, s, e
+
+
+def _raw(text: str, start: int, end: int) -> bytes:
+    """A stretch without line ends and comment marks; lower case, as titles are in capitals."""
+    return re.sub(_GAP, " ", text[start:end]).lower().encode()
+
 
 def _spare(words: list[str]) -> int:
     return int(MOST_DIFFERENT * len(words))
@@ -212,7 +260,8 @@ def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield (key, len(found), ",".join(sorted({f[0] for f in found})),
                            ",".join(f"{n}:{s}:{e}" for n, s, e, _, _ in found),
                            sum(f[3] for f in found), sum(f[4] for f in found))
-        yield from to_batches(rows(), schema)
+        with tidied():
+            yield from to_batches(rows(), schema)
 
     return src.mapInArrow(run, "doc_id long, n_notices long, licenses string, spans string, saved_bytes long, "
                                "differing_words long")
