@@ -71,9 +71,11 @@ def read_objects(spark: SparkSession, path: str, record: T.StructType) -> DataFr
     whole = placed.groupBy("file", "position").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), "}").alias("body"))
     body = F.when(F.col("position") == 0, F.regexp_replace("body", r'^\x{FEFF}?\s*\{\s*"Documents"\s*:\s*\[', "")).otherwise(
         F.regexp_replace("body", r"^\s*,", ""))
-    whole = whole.withColumn("body", body).where(~F.col("body").rlike(r"^\s*\]?\s*$"))
+    end = F.col("body").rlike(r"^\s*\]?\s*$")
+    whole = whole.withColumn("body", body).where(~end)
     full = T.StructType([*record.fields, T.StructField("_bad", T.StringType())])
     read = F.from_json(F.concat("body", F.lit("}")), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     bad = F.concat(F.lit("not a record of a Documents array: "), F.substring("body", 1, 80))
+    # a filter that is merged with the one above may be tried on an array's end first: that is no error
     return whole.select("file", "position", F.when(F.col("body").rlike(r"^\s*\{"), read).alias("d"), "body").select(
-        "file", "position", F.when(F.col("d").isNotNull() & F.col("d._bad").isNull(), F.col("d")).otherwise(F.raise_error(bad)).alias("d"))
+        "file", "position", F.when((F.col("d").isNotNull() & F.col("d._bad").isNull()) | end, F.col("d")).otherwise(F.raise_error(bad)).alias("d"))
