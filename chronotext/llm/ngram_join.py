@@ -164,7 +164,7 @@ def split_large(members: DataFrame, sketches: DataFrame, least: float, large: in
     """Memberships ``(node, item, size)`` with large nodes split until they are small or alike throughout."""
     spark = members.sparkSession
     members = stored(spark, distinct_nodes(members), "nodes")
-    done = members
+    done = members.where(F.col("size") <= large)
     schema = pa.schema([("node", pa.int64()), ("item", pa.int64())])
 
     def follow(batches):
@@ -184,9 +184,11 @@ def split_large(members: DataFrame, sketches: DataFrame, least: float, large: in
             break
         children = (big.join(mixed, "node", "left_semi").select("node", "item", "payload")
                     .mapInArrow(follow, "node long, item long"))
+        # small nodes are never split: only large ones are told apart
+        done = done.unionByName(members.where(F.col("size") > large).join(mixed, "node", "left_anti"))
         members = stored(spark, distinct_nodes(children), "nodes")
-        done = done.join(mixed, "node", "left_anti").unionByName(members)
-    return done
+        done = done.unionByName(members.where(F.col("size") <= large))
+    return done.unionByName(members.where(F.col("size") > large))
 
 
 def _sign_sums() -> list:
