@@ -583,7 +583,8 @@ def q_stream_char_ngrams(spark, sf_dir):
     ex.vocab = ex.vocab.persist()
     sink = scratch_path(spark, "stream-sink")
     q = streaming.featurize_stream(
-        streaming.document_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet"),   # one file or a folder of them
+        # a pattern matches one file as well as a folder of part files
+        streaming.document_stream(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]"),
         ex, sink, scratch_path(spark, "stream-checkpoint"))
     q.awaitTermination()
     out = spark.read.parquet(sink).drop("epoch")

@@ -28,7 +28,7 @@ def document_stream(spark: SparkSession, folder: str, glob: str | None = None,
                     max_files: int | None = None) -> DataFrame:
     """A file stream of ``documents``-shaped parquet files in ``folder``
     (optionally only file names matching ``glob``); ``folder`` may also be
-    one such file."""
+    a pattern, which one file can match."""
     r = spark.readStream.schema(DOCUMENT_SCHEMA)
     if glob:
         r = r.option("pathGlobFilter", glob)

@@ -1,10 +1,10 @@
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from chronotext.functions import grams
 from chronotext.operators import features
-from chronotext.session import scratch_path
 from chronotext.streaming import stream as streaming
 
 
@@ -36,10 +36,12 @@ def test_counting_shuffles_no_row_of_a_gram(spark):
         line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
 
 
-def test_stream_of_a_table_in_part_files(spark):
-    for parts in (1, 3):
-        path = scratch_path(spark, "stream-in")
-        rows = [(k, f"text number {k}", "en", "web", 9) for k in range(9)]
-        spark.createDataFrame(rows, streaming.DOCUMENT_SCHEMA).repartition(parts).write.parquet(f"{path}/documents.parquet")
-        from chronotext.plans.queries import q_stream_char_ngrams
-        assert q_stream_char_ngrams(spark, path).select("doc_id").distinct().count() == 9
+def test_stream_of_one_file_and_of_part_files(spark, tmp_path):
+    from chronotext.plans.queries import q_stream_char_ngrams
+    rows = [(k, f"text number {k}", "en", "web", 9) for k in range(9)]
+    docs = spark.createDataFrame(rows, streaming.DOCUMENT_SCHEMA)
+    docs.repartition(3).write.parquet(f"file:{tmp_path}/many/documents.parquet")
+    (tmp_path / "one").mkdir()
+    pq.write_table(pa.Table.from_pandas(docs.toPandas()), tmp_path / "one" / "documents.parquet")
+    for kind in ("many", "one"):
+        assert q_stream_char_ngrams(spark, f"file:{tmp_path}/{kind}").select("doc_id").distinct().count() == 9
