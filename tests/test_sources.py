@@ -63,3 +63,17 @@ def test_json_lines_need_ids_or_numbering(spark):
     assert sorted(r.doc_id for r in got) == list(range(50))
     with pytest.raises(Exception, match="no doc_id"):
         corpus.load_corpus_json(spark, path, multiline=False).collect()
+
+
+def test_cache_finds_asked_tokens_without_a_join_when_all_are_asked(spark, tmp_path):
+    from chronotext.sources.cache import AnnotationCache
+    docs = spark.createDataFrame([(1, "Ab cd. Ef"), (2, "gh"), (3, "ij kl"), (4, None)], "doc_id long, text string")
+    c = AnnotationCache(spark, str(tmp_path / "annotations"))
+    part = c.annotate(docs.where("doc_id = 1"))
+    whole = c.annotate(docs)
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()   # every token was joined with its key before
+    assert sorted((r.doc_id, r.text) for r in part.collect()) == [(1, "."), (1, "Ab"), (1, "Ef"), (1, "cd")]
+    assert {r.doc_id for r in whole.collect()} == {1, 2, 3} and whole.count() == 7
+    assert {r.doc_id for r in c.lookup(docs.where("doc_id > 1")).collect()} == {2, 3}
+    c.delete_docs(docs.where("doc_id = 2").select("doc_id"))
+    assert {r.doc_id for r in c.table().collect()} == {1, 3}
