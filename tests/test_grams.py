@@ -45,3 +45,45 @@ def test_stream_of_one_file_and_of_part_files(spark, tmp_path):
     pq.write_table(pa.Table.from_pandas(docs.toPandas()), tmp_path / "one" / "documents.parquet")
     for kind in ("many", "one"):
         assert q_stream_char_ngrams(spark, f"file:{tmp_path}/{kind}").select("doc_id").distinct().count() == 9
+
+
+def test_values_are_made_in_the_row(spark):
+    """No row of a gram is sorted, shuffled or joined for its norms or the vocabulary."""
+    docs = spark.createDataFrame([(k, f"text {k}", k % 2) for k in range(20)], "doc_id long, text string, label int").repartition(4, "doc_id")
+    ex = features.CharNGrams(norm=("l1", "l2")).fit(docs, carry=["label"])
+    for out in (ex.transform(docs, carry=["label"]), ex.sums(docs, carry=["label"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Window", "Join", "Sort ")), plan
+    # a slice gives one row for each label and gram
+    assert ex.sums(docs.coalesce(1), carry=["label"]).groupBy("label", "term").count().where("count > 1").isEmpty()
+
+
+def _by_key(df, *keys):
+    out = {}
+    for r in df.collect():
+        out[tuple(r[k] for k in keys)] = out.get(tuple(r[k] for k in keys), 0.0) + r.value
+    return out
+
+
+def test_sent_and_joined_vocabularies_agree(spark, monkeypatch):
+    """Repeated and null ids, labels that differ within a document, weights."""
+    rows = [(1, "abc abd", 0, 2), (1, "abc", 1, 2), (2, "abc ab", 0, 1), (2, "abc ab", 0, 1), (None, "abx", None, 3), (None, "ab", 1, 1),
+            (3, None, 0, 1), (4, "", 1, 1), (5, "zq", 0, 1), (6, "abc", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, w long")
+    for weight in (None, "w"):
+        got = []
+        for limit in (features.VOCABULARY_SENT, 0):
+            monkeypatch.setattr(features, "VOCABULARY_SENT", limit)
+            ex = features.CharNGrams(norm=("l1", "l2"), weight=weight).fit(docs, carry=["label"])
+            full = ex.transform(docs, carry=["label"])
+            short = ex.vocab.where("df < 6")
+            sums = ex.sums(docs, carry=["label"])
+            got.append([{r.term: r.df for r in ex.vocab.collect()}, _by_key(full, "doc_id", "label", "term"), _by_key(sums, "label", "term"),
+                        {(r.label, r.term): r.n for r in sums.groupBy("label", "term").sum("n").withColumnRenamed("sum(n)", "n").collect()},
+                        {r.doc_id: r.n_terms for r in ex.totals(docs).collect()}, {r.doc_id: r.found for r in ex.found(docs, short, "found").collect()}])
+        for a, b in zip(*got, strict=True):
+            assert a.keys() == b.keys()
+            assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
+        counts = ex.counts(docs, carry=["label"])
+        plain = features.terms.fit_vocabulary(counts, 3, weight)
+        assert {r.term: r.df for r in plain.collect()} == got[0][0]
