@@ -83,13 +83,16 @@ def merge_short_sentences(sent_units: Column, min_tokens: int = 8,
 def windows_reference(frags: Column, n: int) -> Column:
     """Reference window rule: fragments with >= n tokens stay as they are, in
     order; all shorter fragments are joined into one segment, emitted last."""
-    long = F.filter(frags, lambda f: f["n_tok"] >= n)
-    short = F.filter(frags, lambda f: f["n_tok"] < n)
-    rest = _frag(F.array_join(F.transform(short, lambda f: f["text"]), " "),
-                 F.aggregate(short, F.lit(0), lambda a, f: a + f["n_tok"]),
-                 F.array_min(F.transform(short, lambda f: f["first"])),
-                 F.array_max(F.transform(short, lambda f: f["last"])))
-    return F.when(F.size(short) > 0, F.concat(long, F.array(rest))).otherwise(long)
+    def cut(frags):
+        long = F.filter(frags, lambda f: f["n_tok"] >= n)
+        short = F.filter(frags, lambda f: f["n_tok"] < n)
+        rest = _frag(F.array_join(F.transform(short, lambda f: f["text"]), " "),
+                     F.aggregate(short, F.lit(0), lambda a, f: a + f["n_tok"]),
+                     F.array_min(F.transform(short, lambda f: f["first"])),
+                     F.array_max(F.transform(short, lambda f: f["last"])))
+        return F.when(F.size(short) > 0, F.concat(long, F.array(rest))).otherwise(long)
+
+    return F.transform(F.array(frags), cut)[0]  # an argument is made once, however often it is read
 
 
 def windows_greedy(frags: Column, n: int) -> Column:

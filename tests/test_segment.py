@@ -60,3 +60,11 @@ def test_segment_index(spark):
 def test_policy_validation():
     with pytest.raises(ValueError):
         segment.Segmentation(split_policy="by_word")
+
+
+def test_sentences_are_cut_once_for_reference_windows(spark):
+    docs = spark.createDataFrame([(1, "One two. Three four five."), (2, None)], "doc_id long, text string")
+    out = segment.Segmentation("by_sentence", 4, 1, mode="reference", keep_full=True).transform(docs)
+    plan = out.where("kind = 'fragment'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert [r.text for r in out.where("kind = 'fragment'").orderBy("seg_no").collect()] == ["Three four five.", "One two."]
