@@ -135,10 +135,12 @@ def q_tokens_tagged(spark, sf_dir):
 def q_segment_token_join(spark, sf_dir):
     d = _docs(spark, sf_dir)
     seg = segment.Segmentation("by_sentence", SEG_TOKENS, MIN_TOKENS).transform(d)
-    toks = annotate.tokens_table(d)
-    j = annotate.attach_by_sentence(seg, toks)
+    # added up by sentence where the tokens are made: sentences are joined, and tokens neither shuffled nor made twice
+    sents = annotate.tokens_table(d).groupBy("doc_id", "sent_no").agg(
+        F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end")).persist()
+    j = annotate.attach_by_sentence(seg, sents)
     return j.groupBy("doc_id", "kind", "seg_no").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.min("start").alias("first_char"), F.max("end").alias("last_char"))
+        F.sum("n").alias("n_tokens"), F.min("start").alias("first_char"), F.max("end").alias("last_char"))
 
 
 def q_segment_locate_join(spark, sf_dir):

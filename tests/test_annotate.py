@@ -54,3 +54,15 @@ def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
         assert len(got) == 64
     loads = open(log).read().split()
     assert len(loads) == len(set(loads)) < 48 and {f"pid{p}" for p in loads} >= {r.dep for r in got}
+
+
+def test_sentences_are_joined_with_segments_and_not_tokens(spark, tmp_path):
+    from chronotext.plans.queries import q_segment_token_join
+    rows = [(k, f"One two three, {k}. Four five! Six seven eight nine ten eleven twelve thirteen.", "en", "web", 9) for k in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file:{tmp_path}/documents.parquet")
+    out = q_segment_token_join(spark, f"file:{tmp_path}")
+    got = {(r.doc_id, r.kind, r.seg_no): (r.n_tokens, r.first_char, r.last_char) for r in out.collect()}
+    whole = {(k, kind, 0): (18, 0, len(t) ) for k, t, *_ in rows for kind in ("full", "fragment")}
+    assert got == whole
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode(regexp_extract_all" not in plan.split("InMemoryRelation")[0]
