@@ -61,3 +61,23 @@ def test_function_word_counts(spark):
     got = {(r.doc_id, r.term): r.c for r in features.function_word_counts(docs, ["the", "and"]).collect()}
     assert got == {(1, "the"): 2, (1, "and"): 1}
     assert features.function_word_counts(docs, ["zzz"]).count() == 0
+
+
+def test_tag_counts_are_made_in_rows_and_kept_on_disk(spark):
+    rows = [(1, 0, 1, "B", 1), (1, 0, 0, "A", 2), (1, 1, 0, "A", 3), (2, 0, 0, "", 4), (None, 0, 0, "A", 5), (None, 0, 1, "A", 6)]
+    toks = spark.createDataFrame(rows, "doc_id long, sent_no int, tok_no int, pos string, p int")
+    docs = spark.createDataFrame([(1,), (2,), (3,), (None,)], "doc_id long")
+    ex = features.TagNGrams("pos", n=(1, 2))
+    out = ex.fit_transform(toks, docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # counts were held in executors' memory, and joined and sorted as rows, before
+    assert "InMemoryRelation" not in plan and "Window" not in plan and "Join" not in plan
+    counts = {(1, "A"): 2, (1, "B"): 1, (1, "A-B"): 1, (2, "Unk"): 1, (None, "A"): 2, (None, "A-A"): 1}
+    assert {(r.doc_id, r.term): r.c for r in ex.counts(toks).collect()} == counts
+    df = {"A": 2, "B": 1, "A-B": 1, "Unk": 1, "A-A": 1}
+    assert {r.term: r.df for r in ex.vocab.collect()} == df and ex.n_docs == 4
+    raw = {k: (1 + math.log(c)) * (math.log(5 / (1 + df[k[1]])) + 1) for k, c in counts.items()}
+    norm = {d: math.sqrt(sum(v * v for k, v in raw.items() if k[0] == d)) for d in (1, 2, None)}
+    got = {(r.doc_id, r.term): r.value for r in out.collect()}
+    assert got.keys() == raw.keys() and all(math.isclose(v, raw[k] / norm[k[0]]) for k, v in got.items())
+    assert {r.doc_id: r.n_terms for r in ex.totals(toks).collect()} == {1: 4, 2: 1, None: 3}
