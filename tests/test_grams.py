@@ -87,3 +87,14 @@ def test_sent_and_joined_vocabularies_agree(spark, monkeypatch):
         counts = ex.counts(docs, carry=["label"])
         plain = features.terms.fit_vocabulary(counts, 3, weight)
         assert {r.term: r.df for r in plain.collect()} == got[0][0]
+
+
+def test_texts_and_tokens_are_counted_once(spark):
+    from chronotext.operators import features
+    docs = spark.createDataFrame([(k, "abc def abd ab", k % 2) for k in range(9)], "doc_id long, text string, label int")
+    toks = spark.createDataFrame([(1, 0, 0, "A"), (1, 0, 1, "B")], "doc_id long, sent_no int, tok_no int, pos string")
+    chars, tags = features.CharNGrams().fit(docs), features.TagNGrams("pos", n=(1, 2))
+    made = [chars.transform(docs), chars.counts(docs), chars.totals(docs), chars.found(docs, chars.vocab, "n"), tags.fit_transform(toks, docs)]
+    # a filter of what was counted called the function a second time
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") for df in made] == [1] * 5
+    assert {r.n_terms for r in made[2].collect()} == {r.c for r in made[1].groupBy("doc_id").agg({"c": "sum"}).toDF("doc_id", "c").collect()}
